@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import op6_chat
+from tidemark.llm.language_id import op9_language_id
 from tidemark.llm.packing import op7_packing
+from tidemark.llm.sharding import op2_sharding
+from tidemark.llm.tiff import op4_tiff
 from tidemark.llm.token_counts import op1_token_counts
 from tidemark.llm.training_order import op10_training_order
 
@@ -10,7 +14,11 @@ from tidemark.llm.training_order import op10_training_order
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_sharding": op2_sharding,
+        "op4_tiff": op4_tiff,
+        "op6_chat": op6_chat,
         "op7_packing": op7_packing,
+        "op9_language_id": op9_language_id,
         "op10_training_order": op10_training_order,
     }
 
