@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.chat import op6_chat
 from tidemark.llm.decontamination import op5_decontamination
 from tidemark.llm.language_id import op9_language_id
+from tidemark.llm.near_dedup import op3_near_dedup
 from tidemark.llm.packing import op7_packing
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.tiff import op4_tiff
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_sharding": op2_sharding,
+        "op3_near_dedup": op3_near_dedup,
         "op4_tiff": op4_tiff,
         "op5_decontamination": op5_decontamination,
         "op6_chat": op6_chat,
