@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.chat import op6_chat
 from tidemark.llm.decontamination import op5_decontamination
 from tidemark.llm.language_id import op9_language_id
+from tidemark.llm.lm_scoring import op8_lm_scoring
 from tidemark.llm.near_dedup import op3_near_dedup
 from tidemark.llm.packing import op7_packing
 from tidemark.llm.sharding import op2_sharding
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op6_chat": op6_chat,
         "op7_packing": op7_packing,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_language_id": op9_language_id,
         "op10_training_order": op10_training_order,
     }
