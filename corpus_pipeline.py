@@ -1,19 +1,55 @@
-"""The corpus pipeline: stages over documents, each given what the one before it kept."""
+"""The corpus pipeline: stages over documents, each given all that the one before it kept.
+
+Language identification rejects documents without a letter and those whose text
+no language explains; of each group of near copies the document with the least
+id stays; documents that hold benchmark questions go; the rest is packed into
+sequences.
+
+Every stage takes nulls, empty and very long texts, repeated rows, empty tables
+and extra columns. A null or empty text is rejected by the first stage. Rows
+without an id are never taken for copies. Rows that share an id are one document
+for the second stage; they stay or go together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.decontamination import contaminated, row_key
+from tidemark.llm.language_id import predict, train
+from tidemark.llm.near_dedup import bounded, near_groups
 from tidemark.llm.packing import pack
 from tidemark.runtime import materialise
 
+#: The least share of a text's n-grams that its language must explain.
+LEAST_SCORE = 0.2
+#: Percent of shingles that near copies share at least.
+SIMILAR = 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = predict(docs, train(docs), (F.struct(*(docs[c] for c in docs.columns)).alias("_row"),))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = materialise(near_groups(docs, SIMILAR).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    return docs.join(bounded(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = materialise(contaminated(docs, items).select(F.col("row_key").alias("_gone")).distinct(), "leaks")
+    return docs.join(bounded(gone), row_key(docs["doc_id"], docs["text"]) == F.col("_gone"), "left_anti")
+
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("packing", packing)]
-#: The stages tokenize and learn, which SQL cannot express.
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_leaks", benchmark_leaks), ("packing", packing)]
+#: The stages learn, link and tokenize, which SQL cannot express.
 ORACLE_SQL = None
 
 

@@ -37,6 +37,11 @@ UNITS = "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells documents apart that have no id or share one."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def template(text: Column) -> Column:
     """The template words of a text. They stand one to one with ``values``."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll},;:] )\p{Lu}[\p{L}'’-]*", NAME)
@@ -78,10 +83,10 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str) -> tuple[D
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_windows: int = MIN_WINDOWS) -> DataFrame:
-    """doc_id, item_id, n_windows, share of the item's windows, n_slots and changed (slots with other values than the item's)."""
+    """doc_id, item_id, n_windows, share of the item's windows, n_slots and changed (slots with other values than the item's), row_key (``row_key`` of the document)."""
     bench, by_size = benchmark_windows(items, item_col, item_text_col)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, share double, n_slots int, changed int")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, share double, n_slots int, changed int, row_key long")
     if not by_size:
         return empty
     hashed = rows.select("key", F.transform(template(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
@@ -108,12 +113,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     n = F.size("pairs")
     consistent = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda x: x["d"]))) == n)
     out = checked.where(consistent).select(
-        "doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), (F.size("at") / F.greatest(F.size("words") - F.col("size") + 1, F.lit(1))).alias("share"),
+        F.col("key").alias("row_key"), "doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), (F.size("at") / F.greatest(F.size("words") - F.col("size") + 1, F.lit(1))).alias("share"),
         n.alias("n_slots"), F.size(F.filter("pairs", lambda x: ~x["b"].eqNullSafe(x["d"]))).alias("changed"),
     )
     best = F.max(F.struct("n_windows", "share", "n_slots", (-F.col("changed")).alias("unchanged")))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.n_windows", "m.share", "m.n_slots", (-F.col("m.unchanged")).alias("changed"))
+    grouped = out.groupBy("row_key", "doc_id", "item_id").agg(best.alias("m"))
+    return grouped.select("doc_id", "item_id", "m.n_windows", "m.share", "m.n_slots", (-F.col("m.unchanged")).alias("changed"), "row_key")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
