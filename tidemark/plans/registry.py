@@ -1,11 +1,350 @@
-"""All queries of the engine and their SQL, by name."""
+"""All queries of the engine and their SQL, by name.
+
+The log over ``events`` is described in ``tidemark.sources.changelog``. SQL is
+written on its own, not generated from the DataFrame side.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import bloom, protocol
+from tidemark.operators import layers, lww, quorum
+from tidemark.runtime import shared_path
+from tidemark.sources import changelog, wal
+
+C = """WITH c AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op,
+  CASE WHEN event_type = 'error' THEN NULL ELSE props END AS value, event_id // 1000 AS segment FROM events)"""
+LATEST = C + ", latest AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
+SEGMENTS = C + ", s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY segment, key ORDER BY seq DESC) = 1)"
+BYTES = "strlen(key) + coalesce(strlen(value), 0)"
+#: 64-bit FNV-1a of ASCII keys, on 128-bit integers.
+FNV = """list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i::int, 1))::hugeint)),
+  lambda h, b: ((h - (h % 256)) + xor((h % 256)::int, b::int)::hugeint) * 1099511628211 % 18446744073709551616::hugeint)"""
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    return changelog.events_log(spark, d)
+
+
+def keys(spark: SparkSession, n: int, step: int = 1) -> DataFrame:
+    return spark.range(0, n, step).select(F.col("id").cast("string").alias("key"))
+
+
+@query("q01_lww_snapshot", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1")
+def q01(spark, d):
+    return lww.snapshot(log(spark, d)).select("key", "value", "seq")
+
+
+@query("q01b_lww_orders", "SELECT CAST(o_custkey AS VARCHAR) AS key, o_orderpriority AS value, o_orderkey AS seq FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) WHERE o_orderstatus <> 'F'")
+def q01b(spark, d):
+    return lww.snapshot(changelog.orders_log(spark, d)).select("key", "value", "seq")
+
+
+@query("q01c_lww_lineitem", "SELECT l_orderkey AS key, l_partkey AS value, (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey AS seq FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1) WHERE l_returnflag <> 'R'")
+def q01c(spark, d):
+    return lww.snapshot(changelog.lineitem_log(spark, d)).select("key", "value", "seq")
+
+
+@query("q02_point_get", LATEST + " SELECT key, op, value, seq FROM latest WHERE key = '42'")
+def q02(spark, d):
+    return lww.get(log(spark, d), "42").select("key", "op", "value", "seq")
+
+
+@query("q03_batch_get", LATEST + """ SELECT k.key, CASE WHEN l.op IS NULL THEN 'absent' WHEN l.op = 1 THEN 'hit' ELSE 'deleted' END AS state, CASE WHEN l.op = 1 THEN l.value END AS value
+  FROM (SELECT CAST(range AS VARCHAR) AS key FROM range(0, 300, 3)) k LEFT JOIN latest l ON l.key = k.key""")
+def q03(spark, d):
+    return lww.batch_get(log(spark, d), keys(spark, 300, 3), few=True)
+
+
+@query("q04_range_scan", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1 AND key BETWEEN '10' AND '19'")
+def q04(spark, d):
+    return lww.scan(log(spark, d), "10", "19").select("key", "value", "seq")
+
+
+@query("q05_ordered_scan", LATEST + " SELECT key, op, value, seq FROM latest ORDER BY key")
+def q05(spark, d):
+    return lww.resolve(log(spark, d)).select("key", "op", "value", "seq").orderBy("key")
+
+
+@query("q06_compact_newest", C + " SELECT key, value, seq FROM (SELECT * FROM c WHERE segment <= 5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 1")
+def q06(spark, d):
+    return layers.compact(layers.segments(log(spark, d).where("segment <= 5"))).select("key", "value", "seq")
+
+
+@query("q06b_read_order", SEGMENTS + " SELECT key, segment, op, value FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY segment DESC) = 1")
+def q06b(spark, d):
+    entries = layers.segments(log(spark, d)).withColumn("level", F.lit(0))
+    return layers.read_order(entries).select("key", "segment", "op", "value")
+
+
+@query("q06c_compact_oldest_l0", SEGMENTS + " SELECT key, value, seq FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY segment) = 1) WHERE op = 1")
+def q06c(spark, d):
+    return layers.compact(layers.segments(log(spark, d)), compat="oldest_l0").select("key", "value", "seq")
+
+
+@query("q06d_compact_partial", C + " SELECT key, op, value, seq FROM c WHERE segment BETWEEN 3 AND 5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+def q06d(spark, d):
+    entries = layers.segments(log(spark, d).where("segment between 3 and 5"))
+    return layers.compact(entries, full=False).select("key", "op", "value", "seq")
+
+
+@query("q07_memtable_bytes", SEGMENTS + f" SELECT segment, CAST(sum({BYTES}) AS BIGINT) AS bytes, count(*) AS n_entries FROM s GROUP BY segment")
+def q07(spark, d):
+    return layers.segments(log(spark, d)).groupBy("segment").agg(F.sum(layers.entry_bytes()).alias("bytes"), F.count("*").alias("n_entries"))
+
+
+@query("q07b_flush_boundaries", C + f""" SELECT flush, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_records, CAST(sum(b) AS BIGINT) AS bytes
+  FROM (SELECT seq, {BYTES} AS b, CAST(sum({BYTES}) OVER (ORDER BY seq) - ({BYTES}) AS BIGINT) // 4096 AS flush FROM c) GROUP BY flush""")
+def q07b(spark, d):
+    return layers.flush_boundaries(log(spark, d), 4096)
+
+
+@query("q08_engine_stats", SEGMENTS + f""", e AS (SELECT segment, count(*) AS n_entries, CAST(sum(CASE WHEN op = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_tombstones, CAST(sum({BYTES}) AS BIGINT) AS bytes FROM s GROUP BY segment)
+  SELECT * FROM e UNION ALL SELECT -1, CAST(sum(n_entries) AS BIGINT), CAST(sum(n_tombstones) AS BIGINT), CAST(sum(bytes) AS BIGINT) FROM e""")
+def q08(spark, d):
+    return layers.stats(layers.segments(log(spark, d)))
+
+
+INDEX = "SELECT segment, key, place FROM (SELECT o_orderkey // 4096 AS segment, o_orderkey AS key, row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) - 1 AS place FROM orders) WHERE place % 16 = 0"
+
+
+def _orders_index(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return layers.sparse_index(orders.select(F.expr("o_orderkey div 4096").alias("segment"), F.col("o_orderkey").alias("key")))
+
+
+@query("q09_sparse_index", INDEX.replace("place FROM (", "CAST(place AS INTEGER) AS place FROM (", 1))
+def q09(spark, d):
+    return _orders_index(spark, d)
+
+
+@query("q09b_index_seek", f"""WITH i AS ({INDEX}), p AS (SELECT o_orderkey // 4096 AS segment, o_orderkey AS probe FROM orders WHERE o_orderkey % 7 = 0)
+  SELECT p.segment, p.probe, max(CASE WHEN i.key <= p.probe THEN i.key END) AS first_key FROM p JOIN i ON i.segment = p.segment GROUP BY 1, 2""")
+def q09b(spark, d):
+    probes = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 7 = 0").select(F.expr("o_orderkey div 4096").alias("segment"), F.col("o_orderkey").alias("probe"))
+    return layers.index_seek(_orders_index(spark, d), probes)
+
+
+BITS = C + f""", k AS (SELECT DISTINCT segment, key FROM c), n AS (SELECT segment, count(*) AS n_keys, greatest(64, 10 * count(*)) AS m FROM k GROUP BY segment),
+  h AS (SELECT segment, key, {FNV} AS h FROM k), x AS (SELECT h.segment, key, n_keys, m, h % 4294967296 AS a, (h // 4294967296) + CASE WHEN (h // 4294967296) % 2 = 0 THEN 1 ELSE 0 END AS b FROM h JOIN n ON n.segment = h.segment),
+  bits AS (SELECT DISTINCT segment, n_keys, m, CAST(((a + i * b) % 4294967296) % m AS BIGINT) AS bit FROM x, range(0, 6) t(i))"""
+
+
+@query("q10_bloom_build", BITS + " SELECT segment, n_keys, m AS num_bits, count(*) AS set_bits, CAST(sum(bit) AS BIGINT) AS position_sum FROM bits GROUP BY segment, n_keys, m")
+def q10(spark, d):
+    total = F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + b)
+    return bloom.build(log(spark, d)).select("segment", "n_keys", "num_bits", F.size("bits").cast("long").alias("set_bits"), total.alias("position_sum"))
+
+
+@query("q10b_bloom_probe", BITS + f""", p AS (SELECT n.segment, CAST(r.range AS VARCHAR) AS key, n.m FROM n, range(0, 300) r), ph AS (SELECT segment, key, m, {FNV} AS h FROM p),
+  pb AS (SELECT segment, key, CAST(((h % 4294967296 + i * ((h // 4294967296) + CASE WHEN (h // 4294967296) % 2 = 0 THEN 1 ELSE 0 END)) % 4294967296) % m AS BIGINT) AS bit FROM ph, range(0, 6) t(i))
+  SELECT pb.segment, pb.key, bool_and(b.bit IS NOT NULL) AS maybe FROM pb LEFT JOIN bits b ON b.segment = pb.segment AND b.bit = pb.bit GROUP BY pb.segment, pb.key""")
+def q10b(spark, d):
+    filters = bloom.build(log(spark, d))
+    # Every filter is asked for a fixed list of 300 keys.
+    probes = filters.select("segment", F.explode(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda k: k.cast("string"))).alias("key"))
+    return bloom.probe(filters, probes)
+
+
+@query("q11_bloom_sizing", C + """ SELECT segment, per_key, n_keys, m AS num_bits, CAST(k AS INTEGER) AS num_hash, round(pow(1 - exp(-k::double * n_keys::double / m::double), k::double), 9) AS fpr
+  FROM (SELECT segment, CAST(per_key AS INTEGER) AS per_key, n_keys, greatest(64, n_keys * per_key) AS m, CASE per_key WHEN 3 THEN 2 WHEN 5 THEN 3 WHEN 10 THEN 6 ELSE 10 END AS k
+    FROM (SELECT segment, count(DISTINCT key) AS n_keys FROM c GROUP BY segment), (VALUES (3), (5), (10), (15)) v(per_key))""")
+def q11(spark, d):
+    n = log(spark, d).groupBy("segment").agg(F.countDistinct("key").alias("n_keys"))
+    each = n.select("segment", F.explode(F.array(*(F.lit(x) for x in (3, 5, 10, 15)))).alias("per_key"), "n_keys")
+    sized = each.withColumn("num_bits", bloom.num_bits(F.col("n_keys"), F.col("per_key"))).withColumn("num_hash", bloom.num_hashes(F.col("per_key")))
+    return sized.withColumn("fpr", F.round(bloom.false_positive_rate(F.col("n_keys"), F.col("num_bits"), F.col("num_hash")), 9))
+
+
+@query("q12_wal_crc")
+def q12(spark, d):
+    p = wal.payload(F.col("op"), F.col("key"), F.col("value"))
+    return log(spark, d).select("seq", F.crc32(p).alias("crc"), (F.octet_length(p) + 8).cast("long").alias("frame_bytes"))
+
+
+@query("q13_wal_replay", C + " SELECT segment, seq % 1000 AS frame_no, key, op, value FROM c WHERE segment % 2 = 0 OR seq % 1000 < 700")
+def q13(spark, d):
+    """Logs of one segment each; in every second one a byte of record 700 is damaged, so that replay ends before it."""
+    framed = log(spark, d).withColumn("frame", wal.frame(F.col("op"), F.col("key"), F.col("value")))
+    bad = F.concat(F.substring("frame", F.lit(1), F.octet_length("frame") - 1), F.unhex(F.lit("ff")))
+    damaged = framed.withColumn("frame", F.when((F.col("segment") % 2 == 1) & (F.expr("seq % 1000") == 700), bad).otherwise(F.col("frame")))
+    files = damaged.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("seq", "frame"))).alias("f"))
+    joined = F.aggregate("f", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["frame"]))
+    replayed = wal.replay(files.select(F.col("segment").cast("string").alias("path"), joined.alias("content")))
+    return replayed.select(F.col("path").cast("long").alias("segment"), "frame_no", "key", "op", F.decode("value", "UTF-8").alias("value"))
+
+
+@query("q14_command_codec", C + """ SELECT seq, '{"type":' || op || ',"key":"' || key || '"' || CASE WHEN op = 1 THEN ',"value":"' || base64(encode(value)) || '"' ELSE '' END || '}' AS command, op, key, value FROM c""")
+def q14(spark, d):
+    text = log(spark, d).select("seq", protocol.encode_command(F.col("op"), F.col("key"), F.col("value")).alias("command"))
+    c = protocol.decode_command(F.col("command"))
+    return text.select("seq", "command", c["op"].alias("op"), c["key"].alias("key"), c["value"].alias("value"))
+
+
+@query("q14b_http_eval", C + """ SELECT r.event_id AS seq, CASE WHEN r.key = '' THEN 400 WHEN r.method = 'GET' THEN CASE WHEN l.op = 1 THEN 200 ELSE 404 END WHEN r.method = 'PUT' THEN CASE WHEN r.event_id % 11 = 0 THEN 400 WHEN r.event_id % 7 = 0 THEN 503 ELSE 200 END
+  WHEN r.method = 'DELETE' THEN CASE WHEN r.event_id % 7 = 0 THEN 503 ELSE 200 END ELSE 405 END AS code
+  FROM (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS key, CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'PUT' WHEN 'purchase' THEN 'PUT' WHEN 'error' THEN 'DELETE' ELSE 'PATCH' END AS method FROM events) r
+  LEFT JOIN (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) l ON l.key = r.key""")
+def q14b(spark, d):
+    """Requests made from events, answered against the last state. Some have no key, some a bad body, some meet no leader."""
+    e, i = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    method = F.when(F.col("event_type") == "view", "GET").when(F.col("event_type").isin("click", "purchase"), "PUT").when(F.col("event_type") == "error", "DELETE").otherwise("PATCH")
+    path = F.concat(F.lit(protocol.PREFIX), F.when(i % 13 == 0, "").otherwise(F.col("user_id").cast("string")))
+    body = F.when(i % 11 == 0, F.when(i % 2 == 0, '{"value": 3}').otherwise("{")).otherwise(F.to_json(F.struct(F.col("props").alias("value"))))
+    r = e.select(i.alias("seq"), method.alias("method"), protocol.path_key(path).alias("key"), body.alias("body"), (i % 7 != 0).alias("leader"))
+    found = lww.resolve(log(spark, d)).select("key", F.col("op").alias("found_op"))
+    ok, _ = protocol.body_value(F.col("body"))
+    hit = F.coalesce(F.col("found_op") == 1, F.lit(False))
+    return r.join(found, "key", "left").select("seq", protocol.status_code(F.col("method"), F.col("key"), hit, ok, F.col("leader")).alias("code"))
+
+
+@query("q15_missing_keys", C + " SELECT CAST(range AS VARCHAR) AS key FROM range(0, 300) r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.key = CAST(r.range AS VARCHAR))")
+def q15(spark, d):
+    return lww.missing(log(spark, d), keys(spark, 300))
+
+
+@query("q16_bloom_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def q16(spark, d):
+    """Customers with an open order. For large sides the optimizer puts its own Bloom filter before the shuffle; the semi join is exact."""
+    customers, orders = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    wanted = orders.where("o_orderstatus = 'P'")
+    return customers.join(wanted, customers["c_custkey"] == wanted["o_custkey"], "left_semi").select("c_custkey", "c_name")
+
+
+@query("q17_cli_parse", """SELECT seq, command, key, value, usage_ok FROM (SELECT seq, command, key, value, CASE command WHEN 'put' THEN value IS NOT NULL WHEN 'get' THEN key IS NOT NULL WHEN 'del' THEN key IS NOT NULL ELSE command IN ('status', 'help', 'exit') END AS usage_ok
+  FROM (SELECT event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'put' WHEN 1 THEN 'get' WHEN 2 THEN 'del' WHEN 3 THEN 'status' ELSE 'nonsense' END AS command, CASE WHEN event_id % 5 < 3 AND event_id % 3 > 0 THEN CAST(user_id AS VARCHAR) END AS key, CASE WHEN event_id % 5 = 0 AND event_id % 3 = 2 THEN props END AS value FROM events))""")
+def q17(spark, d):
+    e, i = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    word = F.element_at(F.array(*(F.lit(x) for x in ("PUT", "Get", "delete", "STATUS", "nonsense"))), (i % 5 + 1).cast("int"))
+    key = F.when((i % 5 < 3) & (i % 3 > 0), F.concat(F.lit(" "), F.col("user_id").cast("string")))
+    value = F.when((i % 5 == 0) & (i % 3 == 2), F.concat(F.lit(" "), F.col("props")))
+    line = F.concat(F.lit("  "), word, F.coalesce(key, F.lit("")), F.coalesce(value, F.lit("")), F.lit(" "))
+    return protocol.parse_line(e.select(i.alias("seq"), line.alias("line"))).drop("line")
+
+
+@query("q18_replay_idempotent", "SELECT CAST(0 AS BIGINT) AS n_different")
+def q18(spark, d):
+    c = log(spark, d)
+    return lww.difference(lww.snapshot(c.unionByName(c)), lww.snapshot(c))
+
+
+@query("q19_election_tally", """SELECT term, candidate, n_votes, n_votes >= 3 AS elected FROM (SELECT event_id // 20 AS term, event_id % 3 AS candidate, count(DISTINCT user_id % 5) AS n_votes FROM events WHERE event_type <> 'error' GROUP BY 1, 2)""")
+def q19(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    votes = e.select(F.expr("event_id div 20").alias("term"), F.expr("event_id % 3").alias("candidate"), F.expr("user_id % 5").alias("voter"), (F.col("event_type") != "error").alias("granted"))
+    return quorum.tally(votes, 5)
+
+
+@query("q20_commit_index", C + """, l AS (SELECT segment AS leader, max(seq) AS last_idx, (max(seq) // 600) * 600 AS term_start, min(seq) AS committed FROM c GROUP BY 1),
+  m AS (SELECT segment AS leader, CAST(key AS BIGINT) % 4 AS peer, max(seq) AS m FROM c WHERE seq % 1000 < 300 + 200 * (CAST(key AS BIGINT) % 4) GROUP BY 1, 2), a AS (SELECT leader, m FROM m UNION ALL SELECT leader, last_idx FROM l),
+  r AS (SELECT leader, list_sort(list(m), 'DESC')[count(*) // 2 + 1] AS reached FROM a GROUP BY leader)
+  SELECT l.leader, CASE WHEN reached >= term_start AND reached > committed THEN reached ELSE committed END AS commit_idx FROM l JOIN r ON r.leader = l.leader""")
+def q20(spark, d):
+    c, peer = log(spark, d), F.col("key").cast("long") % 4
+    leaders = c.groupBy(F.col("segment").alias("leader")).agg(F.max("seq").alias("last_idx"), F.expr("(max(seq) div 600) * 600").alias("term_start"), F.min("seq").alias("committed"))
+    acks = c.where(F.expr("seq % 1000") < 300 + 200 * peer).select(F.col("segment").alias("leader"), peer.alias("peer"), F.col("seq").alias("match_idx"))
+    return quorum.commit_index(acks, leaders)
+
+
+@query("q21_log_conflict", """WITH a AS (SELECT event_id // 500 AS log, event_id AS idx, event_id // 300 AS term FROM events), b AS (SELECT log, idx, CASE WHEN idx % 500 > 400 - 13 * (log % 20) AND log % 3 > 0 THEN term + 1 ELSE term END AS term FROM a WHERE log % 4 > 0 OR idx % 500 < 450)
+  SELECT log, first_conflict, coalesce(first_conflict - 1, last) AS matched FROM (SELECT coalesce(a.log, b.log) AS log, min(CASE WHEN a.term IS DISTINCT FROM b.term THEN coalesce(a.idx, b.idx) END) AS first_conflict, max(coalesce(a.idx, b.idx)) AS last FROM a FULL OUTER JOIN b ON a.log = b.log AND a.idx = b.idx GROUP BY 1)""")
+def q21(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    a = e.select(F.expr("event_id div 500").alias("log"), F.col("event_id").alias("idx"), F.expr("event_id div 300").alias("term"))
+    changed = F.expr("idx % 500 > 400 - 13 * (log % 20) and log % 3 > 0")
+    b = a.where("log % 4 > 0 or idx % 500 < 450").withColumn("term", F.when(changed, F.col("term") + 1).otherwise(F.col("term")))
+    return quorum.conflicts(a, b)
+
+
+@query("q22_vote_grant", """SELECT event_id AS seq, term >= current_term AND (term > current_term OR voted_for IS NULL OR voted_for = candidate) AND (t > mt OR (t = mt AND i >= mi)) AS granted, greatest(term, current_term) AS reply_term
+  FROM (SELECT event_id, event_id % 5 + 3 AS term, user_id % 6 + 3 AS current_term, CASE WHEN user_id % 4 > 0 THEN user_id % 3 END AS voted_for, event_id % 3 AS candidate, event_id % 4 AS t, event_id % 9 AS i, user_id % 4 AS mt, user_id % 9 AS mi FROM events)""")
+def q22(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    r = e.selectExpr("event_id as seq", "event_id % 5 + 3 as term", "user_id % 6 + 3 as current_term", "case when user_id % 4 > 0 then user_id % 3 end as voted_for", "event_id % 3 as candidate", "event_id % 4 as last_log_term", "event_id % 9 as last_log_idx", "user_id % 4 as my_last_term", "user_id % 9 as my_last_idx")
+    return quorum.grant(r).select("seq", "granted", "reply_term")
+
+
+@query("q23_append_result", """SELECT seq, success, CASE WHEN success THEN greatest(commit, least(leader_commit, prev_idx + n_entries)) ELSE commit END AS new_commit, CASE WHEN success THEN prev_idx + n_entries + 1 WHEN match_idx + 1 < next_idx THEN match_idx + 1 ELSE greatest(next_idx - 1, 1) END AS new_next
+  FROM (SELECT *, term >= current_term AND (prev_idx = 0 OR coalesce(my_prev_term = prev_term, false)) AS success FROM (SELECT event_id AS seq, event_id % 5 + 2 AS term, user_id % 4 + 2 AS current_term, event_id % 50 AS prev_idx, event_id % 3 AS prev_term, CASE WHEN user_id % 7 > 0 THEN user_id % 3 END AS my_prev_term,
+    event_id % 4 AS n_entries, user_id % 60 AS leader_commit, user_id % 30 AS commit, event_id % 50 + 1 AS next_idx, user_id % 40 AS match_idx FROM events))""")
+def q23(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    r = e.selectExpr("event_id as seq", "event_id % 5 + 2 as term", "user_id % 4 + 2 as current_term", "event_id % 50 as prev_idx", "event_id % 3 as prev_term", "case when user_id % 7 > 0 then user_id % 3 end as my_prev_term", "event_id % 4 as n_entries", "user_id % 60 as leader_commit", "user_id % 30 as commit", "event_id % 50 + 1 as next_idx", "user_id % 40 as match_idx")
+    return quorum.append_result(r).select("seq", "success", "new_commit", "new_next")
+
+
+@query("q24_peer_map", """SELECT node, CAST(i + CASE WHEN i >= node THEN 1 ELSE 0 END AS BIGINT) AS peer_id, ':' || (8000 + 10 * node + i) AS address FROM (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey <= 5), range(1, 5) t(i)""")
+def q24(spark, d):
+    nodes = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("node"))
+    listed = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit(":"), (8000 + 10 * F.col("node") + i).cast("string"))), " , ")
+    return quorum.peers(nodes.withColumn("peers", listed))
+
+
+@query("q25_stream_apply", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1")
+def q25(spark, d):
+    """The log cut into files in an order that is not that of seq, read as a stream; what is left live at its end."""
+    from tidemark.streaming import apply
+
+    source = shared_path(spark, "stream-log")
+    log(spark, d).repartition(6, F.xxhash64("seq")).write.parquet(source)
+    name = "applied_" + source.rsplit("-", 1)[1]
+    apply.start_state(apply.events_stream(spark, source), name, shared_path(spark, "stream-state")).awaitTermination()
+    return spark.table(name).where("op = 1").select("key", "value", "seq")
+
+
+@query("q26_tombstone_stats", LATEST + " SELECT live, tombstones, versions - live - tombstones AS shadowed, versions, round(versions::double / live, 6) AS amplification FROM (SELECT CAST(count(*) FILTER (op = 1) AS BIGINT) AS live, CAST(count(*) FILTER (op = 2) AS BIGINT) AS tombstones, (SELECT count(*) FROM c) AS versions FROM latest)")
+def q26(spark, d):
+    return layers.space(log(spark, d))
+
+
+@query("q27_version_history", C + " SELECT key, seq, op, value, CAST(lead(seq) OVER (PARTITION BY key ORDER BY seq) AS BIGINT) AS next_seq, CAST(row_number() OVER (PARTITION BY key ORDER BY seq) AS INTEGER) AS version FROM c")
+def q27(spark, d):
+    return lww.history(log(spark, d)).select("key", "seq", "op", "value", "next_seq", "version")
+
+
+@query("q28_as_of_snapshot", C + " SELECT key, value, seq FROM (SELECT * FROM c WHERE seq <= 700 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 1")
+def q28(spark, d):
+    return lww.as_of(log(spark, d), 700).select("key", "value", "seq")
+
+
+@query("q29_store_roundtrip", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1")
+def q29(spark, d):
+    """The log written through a store in four parts, flushed and compacted: what a reader then sees."""
+    from tidemark.operators.store import Store
+
+    store = Store(spark, shared_path(spark, "store"))
+    rows = log(spark, d)
+    for part in range(4):
+        store.ingest(rows.where(F.expr(f"seq % 4 = {part}")))
+    store.compact()
+    return store.snapshot().select("key", F.decode("value", "UTF-8").alias("value"), "seq")
+
+
+@query("q30_enum_names", "SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'Follower' WHEN 1 THEN 'Candidate' WHEN 2 THEN 'Leader' ELSE 'Unknown' END AS state, lpad(CAST(event_id AS VARCHAR), 20, '0') AS name, ':' || (user_id + 1000) AS address FROM events")
+def q30(spark, d):
+    e, i = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    state = F.when(i % 4 == 0, "Follower").when(i % 4 == 1, "Candidate").when(i % 4 == 2, "Leader").otherwise("Unknown")
+    return e.select(i.alias("seq"), state.alias("state"), F.format_string("%020d", i).alias("name"), F.concat(F.lit(":"), (F.col("user_id") + 1000).cast("string")).alias("address"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
