@@ -6,7 +6,8 @@ keyed Feistel network over the smallest even number of bits permutes the
 numbers; values past the end are walked on until they fall inside, so the slots
 are exactly 0..N-1. Range partitions of slots are the shards, written in slot
 order as records of one length: slot s lies in shard s // per_shard at byte
-(s % per_shard) * stride. A reader seeks to any step and reads on in sequence; a
+(s % per_shard) * stride. Shards are written in waves, so that only a part of all
+records lies in shuffle files at any time. A reader seeks to any step and reads on in sequence; a
 writer whose executor is lost writes that shard again and nothing else.
 
 A record: id of the document (int64; the least value for null), number of the
@@ -41,8 +42,10 @@ HEAD_SIZE = struct.calcsize(HEAD)
 NULL_ID = -(1 << 63)
 #: Rows of task counts that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_TASKS = 1_000_000
-ROUNDS = 4
-_SHARD = re.compile(r"part-(\d+)")
+ROUNDS, WAVES = 4, 4
+#: Lets go of a write's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SHARD = re.compile(r"from-(\d+)/part-(\d+)")
 
 
 @dataclass
@@ -97,8 +100,9 @@ def sequences(df: DataFrame, seq_len: int, id_col: str = "doc_id", text_col: str
     return id_text(df, id_col, text_col).mapInArrow(make, "task long, ordinal long, record binary")
 
 
-def write_shards(df: DataFrame, path: str, seq_len: int = 256, key: int = 20_240_607, shard_bytes: int = 32 << 20, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Shards:
+def write_shards(df: DataFrame, path: str, seq_len: int = 256, key: int = 20_240_607, shard_bytes: int = 32 << 20, pad: int = 0, waves: int = WAVES, id_col: str = "doc_id", text_col: str = "text") -> Shards:
     """Write the shards of ``df`` to ``path``, a folder of the shared store."""
+    spark = df.sparkSession
     stride = HEAD_SIZE + 2 * seq_len + 1
     per_shard = max(1, shard_bytes // stride)
     made = materialise(sequences(df, seq_len, id_col, text_col), "sequences")
@@ -120,8 +124,18 @@ def write_shards(df: DataFrame, path: str, seq_len: int = 256, key: int = 20_240
     filler = F.unhex(F.lit(struct.pack("<H", pad).hex() * seq_len))
     full = F.concat("record", F.substring(filler, F.lit(1), F.lit(HEAD_SIZE + 2 * seq_len) - used))
     placed = made.join(shifts, "task").select(slot(F.col("shift") + F.col("ordinal")).alias("slot"), "record")
-    dealt = placed.repartitionById(-(-n // per_shard), F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
-    dealt.select(full.cast("string").alias("value")).write.option("compression", "none").text(path)
+    shards = -(-n // per_shard)
+    step = -(-shards // waves)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        for first in range(0, shards, step):
+            end = min(shards, first + step)
+            wave = placed.where((F.col("slot") >= first * per_shard) & (F.col("slot") < end * per_shard))
+            dealt = wave.repartitionById(end - first, F.expr(f"cast(slot div {per_shard} as int) - {first}")).sortWithinPartitions("slot")
+            dealt.select(full.cast("string").alias("value")).write.option("compression", "none").text(f"{path}/from-{first:08d}")
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return out
 
 
@@ -136,7 +150,7 @@ def read_shards(spark: SparkSession, shards: Shards) -> DataFrame:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard, data = int(_SHARD.search(path.rsplit("/", 1)[1])[1]), content.as_buffer()
+                shard, data = sum(map(int, _SHARD.search(path).groups())), content.as_buffer()
                 view = memoryview(data)
                 for first in range(0, len(view), stride * 4096):
                     rows = []
@@ -147,7 +161,7 @@ def read_shards(spark: SparkSession, shards: Shards) -> DataFrame:
                     columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], ["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_ids", "ids"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(shards.path).select("path", "content").mapInArrow(records, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{shards.path}/*").select("path", "content").mapInArrow(records, schema)
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
