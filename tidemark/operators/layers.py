@@ -78,3 +78,40 @@ def space(log: DataFrame) -> DataFrame:
     total = log.agg(F.count("*").alias("versions"))
     joined = newest.join(F.broadcast(total))  # one row each
     return joined.select("live", "tombstones", (F.col("versions") - F.col("_keys")).alias("shadowed"), "versions", F.round(F.col("versions") / F.col("live"), 6).alias("amplification"))
+
+
+def exact_flushes(log: DataFrame, threshold: int) -> DataFrame:
+    """store, flush, first_seq, last_seq, n_keys, bytes of memtables that are cut when their own bytes reach the threshold.
+
+    Bytes follow overwrites and start anew after each cut, so a memtable is a
+    sequential fold: one task for each ``store``, streaming its log in order.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        store, flush, first, last, size, held = None, 0, None, None, 0, {}
+
+        def end() -> None:
+            if held:
+                rows.append((store, flush, first, last, len(held), size))
+
+        for batch in batches:
+            for s, seq, key, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != store:
+                    end()
+                    store, flush, first, size, held = s, 0, None, 0, {}
+                first = seq if first is None else first
+                size += n - held.get(key, 0)
+                held[key], last = n, seq
+                if size >= threshold:
+                    end()
+                    flush, first, size, held = flush + 1, None, 0, {}
+        end()
+        columns = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["store", "flush", "first_seq", "last_seq", "n_keys", "bytes"])
+
+    ordered = log.select(F.col("store").cast("long"), F.col("seq").cast("long"), "key", entry_bytes().alias("b")).repartition("store").sortWithinPartitions("store", "seq")
+    return ordered.mapInArrow(fold, "store long, flush long, first_seq long, last_seq long, n_keys long, bytes long")

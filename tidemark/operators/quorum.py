@@ -67,3 +67,51 @@ def peers(nodes: DataFrame) -> DataFrame:
     parts = F.transform(F.split("peers", ","), lambda x: F.trim(x))
     at = nodes.select("node", F.posexplode(parts).alias("pos", "address"))
     return at.select("node", (F.col("pos") + 1 + (F.col("pos") + 1 >= F.col("node")).cast("int")).cast("long").alias("peer_id"), "address")
+
+
+def last_entries(log: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, last_idx, last_term, length of each node's log (node, idx, term); (0, 0) of an empty one."""
+    last = log.groupBy("node").agg(F.max(F.struct("idx", "term")).alias("m"), F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    return nodes.join(last, "node", "left").select("node", F.coalesce("m.idx", zero).alias("last_idx"), F.coalesce("m.term", zero).alias("last_term"), F.coalesce("n", zero).alias("length"))
+
+
+def become_leader(leaders: DataFrame, peer_ids: DataFrame) -> DataFrame:
+    """leader, peer, next_idx, match_idx at the start of a term."""
+    return leaders.join(peer_ids, "leader").select("leader", "peer", (F.col("last_idx") + 1).alias("next_idx"), F.lit(0).cast("long").alias("match_idx"))
+
+
+def step_down(nodes: DataFrame) -> DataFrame:
+    """Node states after a message of ``seen_term``: a newer term is adopted, the vote cleared, and the node follows."""
+    newer = F.col("seen_term") > F.col("current_term")
+    return nodes.select("node", F.when(newer, "Follower").otherwise(F.col("state")).alias("state"), F.greatest("current_term", "seen_term").alias("current_term"), F.when(~newer, F.col("voted_for")).alias("voted_for"))
+
+
+def start_election(nodes: DataFrame) -> DataFrame:
+    """Node states of candidates: the next term, with the node's own vote."""
+    return nodes.select("node", F.lit("Candidate").alias("state"), (F.col("current_term") + 1).alias("current_term"), F.col("node").alias("voted_for"))
+
+
+def to_send(log: DataFrame, progress: DataFrame) -> DataFrame:
+    """leader, peer, prev_idx, n_entries of the next message to each peer: the suffix of the leader's log from next_idx."""
+    suffix = progress.join(log, "leader", "left").where(F.col("idx").isNull() | (F.col("idx") >= F.col("next_idx")) | (F.col("idx") == F.col("next_idx") - 1))
+    return suffix.groupBy("leader", "peer", "next_idx").agg(F.sum((F.col("idx") >= F.col("next_idx")).cast("long")).alias("n")).select("leader", "peer", (F.col("next_idx") - 1).alias("prev_idx"), F.coalesce("n", F.lit(0)).alias("n_entries"))
+
+
+def append_entries(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """A follower's log (log, idx, term) after entries: cut at the first conflict, then what is new."""
+    e = entries.select("log", "idx", F.col("term").alias("new"))
+    cut = log.join(e, ["log", "idx"]).where("term <> new").groupBy("log").agg(F.min("idx").alias("cut"))
+    kept = log.join(cut, "log", "left").where("cut is null or idx < cut").select("log", "idx", "term")
+    added = entries.join(kept.select("log", "idx"), ["log", "idx"], "left_anti").select("log", "idx", "term")
+    return kept.unionByName(added)
+
+
+def propose(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """seq, node, accepted, idx, leader: a leader appends proposals in order of seq; others name the leader they know."""
+    from pyspark.sql import Window as W
+
+    order = F.row_number().over(W.partitionBy("node").orderBy("seq"))
+    is_leader = F.col("state") == "Leader"
+    rows = requests.join(nodes, "node").withColumn("idx", F.when(is_leader, F.col("last_idx") + order))
+    return rows.select("seq", "node", is_leader.alias("accepted"), "idx", "leader")

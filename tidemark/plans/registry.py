@@ -342,6 +342,70 @@ def q30(spark, d):
     return e.select(i.alias("seq"), state.alias("state"), F.format_string("%020d", i).alias("name"), F.concat(F.lit(":"), (F.col("user_id") + 1000).cast("string")).alias("address"))
 
 
+@query("q07c_exact_flushes")
+def q07c(spark, d):
+    """Overwrite-aware memtables, for eight stores that share the log by user."""
+    return layers.exact_flushes(log(spark, d).withColumn("store", F.col("key").cast("long") % 8), 1024)
+
+
+@query("q31_last_entries", """SELECT n.node, coalesce(l.last_idx, 0) AS last_idx, coalesce(l.last_term, 0) AS last_term, coalesce(l.length, 0) AS length FROM (SELECT range AS node FROM range(0, 200)) n
+  LEFT JOIN (SELECT user_id AS node, max(event_id) AS last_idx, arg_max(event_id // 300, event_id) AS last_term, count(*) AS length FROM events GROUP BY 1) l ON l.node = n.node""")
+def q31(spark, d):
+    entries = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id as node", "event_id as idx", "event_id div 300 as term")
+    return quorum.last_entries(entries, spark.range(200).select(F.col("id").alias("node")))
+
+
+@query("q32_become_leader", "SELECT leader, peer, max_idx + 1 AS next_idx, CAST(0 AS BIGINT) AS match_idx FROM (SELECT user_id AS leader, max(event_id) AS max_idx FROM events GROUP BY 1), (SELECT range AS peer FROM range(1, 5))")
+def q32(spark, d):
+    leaders = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("leader")).agg(F.max("event_id").alias("last_idx"))
+    peer_ids = leaders.select("leader", F.explode(F.expr("sequence(1L, 4L)")).alias("peer"))
+    return quorum.become_leader(leaders, peer_ids)
+
+
+@query("q33_step_down", """SELECT event_id AS node, CASE WHEN seen > cur THEN 'Follower' ELSE st END AS state, greatest(seen, cur) AS current_term, CASE WHEN seen > cur THEN NULL ELSE vf END AS voted_for
+  FROM (SELECT event_id, event_id % 7 AS seen, user_id % 6 AS cur, CASE WHEN event_id % 2 = 0 THEN 'Leader' ELSE 'Candidate' END AS st, user_id % 3 AS vf FROM events)""")
+def q33(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return quorum.step_down(e.selectExpr("event_id as node", "event_id % 7 as seen_term", "user_id % 6 as current_term", "if(event_id % 2 = 0, 'Leader', 'Candidate') as state", "user_id % 3 as voted_for"))
+
+
+@query("q33b_start_election", "SELECT event_id AS node, 'Candidate' AS state, user_id % 6 + 1 AS current_term, event_id AS voted_for FROM events")
+def q33b(spark, d):
+    return quorum.start_election(spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id as node", "user_id % 6 as current_term"))
+
+
+@query("q34_replication_suffix", """SELECT p.leader, p.peer, p.next_idx - 1 AS prev_idx, (SELECT count(*) FROM events e WHERE e.event_id // 500 = p.leader AND e.event_id >= p.next_idx) AS n_entries
+  FROM (SELECT DISTINCT event_id // 500 AS leader, user_id % 3 AS peer, (event_id // 500) * 500 + 100 * (user_id % 3) + 50 AS next_idx FROM events) p""")
+def q34(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    progress = e.selectExpr("event_id div 500 as leader", "user_id % 3 as peer", "(event_id div 500) * 500 + 100 * (user_id % 3) + 50 as next_idx").distinct()
+    return quorum.to_send(e.selectExpr("event_id div 500 as leader", "event_id as idx"), progress)
+
+
+APPEND = """WITH a AS (SELECT event_id // 500 AS log, event_id AS idx, event_id // 300 AS term FROM events WHERE event_id % 500 < 400), b AS (SELECT event_id // 500 AS log, event_id AS idx, event_id // 300 + CASE WHEN event_id % 500 > 350 AND event_id // 500 % 2 = 0 THEN 1 ELSE 0 END AS term FROM events WHERE event_id % 500 >= 300),
+  cut AS (SELECT a.log, min(a.idx) AS cut FROM a JOIN b ON a.log = b.log AND a.idx = b.idx WHERE a.term <> b.term GROUP BY 1), kept AS (SELECT a.* FROM a LEFT JOIN cut ON cut.log = a.log WHERE cut IS NULL OR idx < cut)"""
+
+
+@query("q35_append_entries", APPEND + " SELECT * FROM kept UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.log = b.log AND k.idx = b.idx)")
+def q35(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id div 500 as log", "event_id as idx", "event_id div 300 as term")
+    new = e.where("idx % 500 >= 300").withColumn("term", F.expr("term + if(idx % 500 > 350 and log % 2 = 0, 1, 0)"))
+    return quorum.append_entries(e.where("idx % 500 < 400"), new)
+
+
+@query("q36_propose", """SELECT event_id AS seq, user_id AS node, user_id % 3 = 0 AS accepted, CASE WHEN user_id % 3 = 0 THEN 1000 + row_number() OVER (PARTITION BY user_id ORDER BY event_id) END AS idx, user_id % 3 AS leader FROM events""")
+def q36(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    nodes = e.selectExpr("user_id as node", "if(user_id % 3 = 0, 'Leader', 'Follower') as state", "1000L as last_idx", "user_id % 3 as leader").distinct()
+    return quorum.propose(e.selectExpr("event_id as seq", "user_id as node"), nodes)
+
+
+@query("q37_election_timeouts")
+def q37(spark, d):
+    """Timeouts of 300 to 500 ms, drawn with a seed."""
+    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.rand(7) * 200 + 300).alias("timeout_ms"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
