@@ -59,10 +59,33 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     This cuts the lineage: whoever reads the result no longer depends on the
     shuffle files of executors that may be lost.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    return _written(df, shared_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of the shared folder that are deleted when the ``with`` block ends.
+
+    What a block returns must not read them any more: materialise it first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str = "scratch") -> DataFrame:
+        self.paths.append(shared_path(self.spark, name))
+        return _written(df, self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
