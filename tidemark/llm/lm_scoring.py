@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import residue, table
 from tidemark.llm.near_dedup import constants, mix, powers
-from tidemark.runtime import materialise, ship
+from tidemark.runtime import Scratch, materialise, ship
 
 BLOCK_TOKENS, BUCKET_BITS, KEYS_PER_BUCKET = 2_500_000, 10, 1 << 20
 PRIOR = 30.0
@@ -181,14 +181,20 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows that are not held out are learned from."""
     ship(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"), df[text_col].cast("string").alias("text"))
-    made = materialise(blocks(rows, block_tokens), "blocks")
-    tokens = made.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    bits = max(BUCKET_BITS, min(30, (tokens // KEYS_PER_BUCKET).bit_length()))
-    replies = materialise(answered(asked(made, bits), bits), "totals")
-    v, n = replies.agg(F.coalesce(F.sum("distinct_tokens"), F.lit(0)), F.coalesce(F.sum("all_tokens"), F.lit(0))).first()
-    texts = made.select(F.explode("held").alias("h")).where("not h").count()
-    # A block gets its answers, one for each bucket that it asked.
-    per_block = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "totals"))).alias("totals"))
+    with Scratch(df.sparkSession) as scratch:
+        made = scratch.table(blocks(rows, block_tokens), "blocks")
+        tokens = made.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        bits = max(BUCKET_BITS, min(30, (tokens // KEYS_PER_BUCKET).bit_length()))
+        replies = scratch.table(answered(asked(made, bits), bits), "totals")
+        v, n = replies.agg(F.coalesce(F.sum("distinct_tokens"), F.lit(0)), F.coalesce(F.sum("all_tokens"), F.lit(0))).first()
+        texts = made.select(F.explode("held").alias("h")).where("not h").count()
+        # A block gets its answers, one for each bucket that it asked.
+        per_block = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "totals"))).alias("totals"))
+        return materialise(traversed(made.join(per_block, "block"), n, v, prior, texts), "scores")
+
+
+def traversed(joined: DataFrame, n: int, v: int, prior: float, texts: int) -> DataFrame:
+    """The scores of the texts of blocks that have their totals."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +213,6 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    joined = made.join(per_block, "block")
     return joined.mapInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_text, table
 from tidemark.llm.token_ids import default_files, encoder
-from tidemark.runtime import materialise, shared_path, ship
+from tidemark.runtime import Scratch, shared_path, ship
 
 HEAD = "<qII"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -105,38 +105,39 @@ def write_shards(df: DataFrame, path: str, seq_len: int = 256, key: int = 20_240
     spark = df.sparkSession
     stride = HEAD_SIZE + 2 * seq_len + 1
     per_shard = max(1, shard_bytes // stride)
-    made = materialise(sequences(df, seq_len, id_col, text_col), "sequences")
-    counts = materialise(made.groupBy("task").agg(F.count("*").alias("n")), "sequence-counts")
-    tasks, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    out = Shards(path, n, per_shard, stride, seq_len)
-    if not n:
+    with Scratch(spark) as scratch:
+        made = scratch.table(sequences(df, seq_len, id_col, text_col), "sequences")
+        counts = scratch.table(made.groupBy("task").agg(F.count("*").alias("n")), "sequence-counts")
+        tasks, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        out = Shards(path, n, per_shard, stride, seq_len)
+        if not n:
+            return out
+        # One row for each task of the first pass.
+        shifts = counts.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n")).alias("shift"))
+        if tasks <= MAX_BROADCAST_TASKS:
+            shifts = F.broadcast(shifts)
+
+        @F.pandas_udf("long")
+        def slot(index: pd.Series) -> pd.Series:
+            return pd.Series(feistel(index.to_numpy(), n, key))
+
+        used = F.octet_length("record")
+        filler = F.unhex(F.lit(struct.pack("<H", pad).hex() * seq_len))
+        full = F.concat("record", F.substring(filler, F.lit(1), F.lit(HEAD_SIZE + 2 * seq_len) - used))
+        placed = made.join(shifts, "task").select(slot(F.col("shift") + F.col("ordinal")).alias("slot"), "record")
+        shards = -(-n // per_shard)
+        step = -(-shards // waves)
+        before = spark.conf.get(CLEAN, None)
+        spark.conf.set(CLEAN, "true")
+        try:
+            for first in range(0, shards, step):
+                end = min(shards, first + step)
+                wave = placed.where((F.col("slot") >= first * per_shard) & (F.col("slot") < end * per_shard))
+                dealt = wave.repartitionById(end - first, F.expr(f"cast(slot div {per_shard} as int) - {first}")).sortWithinPartitions("slot")
+                dealt.select(full.cast("string").alias("value")).write.option("compression", "none").text(f"{path}/from-{first:08d}")
+        finally:
+            spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
         return out
-    # One row for each task of the first pass.
-    shifts = counts.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n")).alias("shift"))
-    if tasks <= MAX_BROADCAST_TASKS:
-        shifts = F.broadcast(shifts)
-
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), n, key))
-
-    used = F.octet_length("record")
-    filler = F.unhex(F.lit(struct.pack("<H", pad).hex() * seq_len))
-    full = F.concat("record", F.substring(filler, F.lit(1), F.lit(HEAD_SIZE + 2 * seq_len) - used))
-    placed = made.join(shifts, "task").select(slot(F.col("shift") + F.col("ordinal")).alias("slot"), "record")
-    shards = -(-n // per_shard)
-    step = -(-shards // waves)
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
-        for first in range(0, shards, step):
-            end = min(shards, first + step)
-            wave = placed.where((F.col("slot") >= first * per_shard) & (F.col("slot") < end * per_shard))
-            dealt = wave.repartitionById(end - first, F.expr(f"cast(slot div {per_shard} as int) - {first}")).sortWithinPartitions("slot")
-            dealt.select(full.cast("string").alias("value")).write.option("compression", "none").text(f"{path}/from-{first:08d}")
-    finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
-    return out
 
 
 def read_shards(spark: SparkSession, shards: Shards) -> DataFrame:
