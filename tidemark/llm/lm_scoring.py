@@ -36,7 +36,7 @@ from tidemark.llm.common import residue, table
 from tidemark.llm.near_dedup import constants, mix, powers
 from tidemark.runtime import Scratch, materialise, ship
 
-BLOCK_TOKENS, BUCKET_BITS, KEYS_PER_BUCKET = 2_500_000, 10, 1 << 20
+BLOCK_TOKENS, BUCKET_BITS, KEYS_PER_BUCKET = 1_000_000, 10, 1 << 20
 PRIOR = 30.0
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
