@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schema import PUT
 
@@ -13,8 +14,12 @@ def resolve(log: DataFrame, *within: str, order: str = "seq") -> DataFrame:
     """The newest mutation of each key (within other columns, if named), tombstones included.
 
     One shuffle on the key with map-side combining; replaying a log twice gives the same.
+    Columns of fixed size are aggregated one by one, which needs no sort (all
+    take the same row, seq being unique); others go together as one struct.
     """
     rest = [c for c in log.columns if c not in ("key", *within)]
+    if all(isinstance(log.schema[c].dataType, T.NumericType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType) and not isinstance(log.schema[c].dataType, T.DecimalType) for c in rest):
+        return log.groupBy(*within, "key").agg(*(F.max_by(c, order).alias(c) for c in rest)).select(*within, "key", *rest)
     best = F.max_by(F.struct(*rest), F.col(order)).alias("m")
     return log.groupBy(*within, "key").agg(best).select(*within, "key", *(F.col(f"m.{c}").alias(c) for c in rest))
 
