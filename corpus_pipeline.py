@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded
 from tidemark.llm.decontamination import contaminated, row_key
 from tidemark.llm.language_id import predict, train
-from tidemark.llm.near_dedup import bounded, near_groups
+from tidemark.llm.near_dedup import near_groups
 from tidemark.llm.packing import pack
 from tidemark.runtime import materialise
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The text of rows without one.
-EMPTY = ""
+#: Rows of ids that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +21,8 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def residue(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """A hint to broadcast, if the rows are few. ``small`` should be a table, since its rows are counted here."""
+    return F.broadcast(small) if small.count() <= MAX_BROADCAST else small

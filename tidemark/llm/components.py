@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import materialise
+from tidemark.runtime import Scratch, materialise
 
 MAX_ROUNDS = 60
 
@@ -33,24 +33,19 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0))).first())
 
 
-def components(edges: DataFrame, rounds: int = MAX_ROUNDS, complete: bool = True) -> DataFrame:
-    """node, root: for each node with an edge (columns u, v) other than the root, the least node that it reaches.
-
-    With ``complete`` false, after ``rounds`` rounds the roots are nodes that it
-    reaches, not always the least.
-    """
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
-        e = materialise(_small(_large(e)), "edges")
-        new = _mark(e)
-        if new == mark:
-            break
-        mark = new
-    else:
-        if complete:
+def components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """node, root: for each node with an edge (columns u, v) other than the root, the least node that it reaches."""
+    with Scratch(edges.sparkSession) as scratch:
+        e = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        mark = _mark(e)
+        for _ in range(rounds):
+            if not mark[0]:
+                break
+            e = scratch.table(_small(_large(e)), "edges")
+            new = _mark(e)
+            if new == mark:
+                break
+            mark = new
+        else:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
-        e = e.groupBy(F.greatest("u", "v").alias("u")).agg(F.min(F.least("u", "v")).alias("v"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")

@@ -4,13 +4,14 @@
    class from here on, however many there are.
 2. Classes are posted under coordinate-value pairs. Two sets that are as similar
    as asked agree in at least ``t`` of ``POST`` posted coordinates (but for a
-   chance below about one in a hundred thousand at the threshold itself), so they
+   chance of about one in a hundred thousand at the threshold itself), so they
    meet under one of each other's first POST - t + 1 pairs in any fixed order: the
    prefix. The order is rarest first, by a count sketch of fixed size, so that
    pairs that very many texts have are skipped.
 3. Who meets under a pair is compared on the whole signature. Lists longer than
    ``BLOCK`` are split, and blocks are compared with blocks; only those with
-   enough equal coordinates come out. First only a spanning forest of each block,
+   enough equal coordinates come out, and only under the first pair in the order
+   that both have, so each once. First only a spanning forest of each block,
    most alike first, is checked on the full sets; then, of what the links found
    so far leave apart, everything else. So a group of a thousand alike texts
    gives about a thousand pairs.
@@ -35,17 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, table
+from tidemark.llm.common import bounded, id_text, table
 from tidemark.llm.components import components
-from tidemark.runtime import materialise, ship
+from tidemark.runtime import Scratch, materialise, ship
 
-SHINGLE, POST, MORE = 5, 48, 80
+SHINGLE, POST, MORE = 5, 48, 272
 SKETCH = 1 << 19
 BLOCK = 256
-#: Rows of ids that are broadcast at most; more are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
 #: How many standard deviations below its mean the number of equal coordinates may lie.
-DEVIATIONS = 4.75
+DEVIATIONS = 4.5
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -111,7 +110,7 @@ def least_equal(k: int, percent: int) -> int:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (of equal sets; null without shingles), post (POST 32-bit values), sig (all values' low bytes)."""
+    """doc_id, n_shingles, node (of equal sets; null without shingles), post (POST 32-bit values), sig (low bytes of the other values)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +124,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 s = signature(x)
                 nodes.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
                 posts.append(s[:POST].tobytes())
-                sigs.append(s.astype(np.uint8).tobytes())
+                sigs.append(s[POST:].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(posts, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "post", "sig"])
 
     return id_text(df, id_col, text_col).mapInArrow(make, "doc_id long, n_shingles long, node long, post binary, sig binary")
@@ -158,31 +157,35 @@ def frequencies(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(classes: DataFrame, prefix: int) -> DataFrame:
-    """pair, node: each class under its rarest pairs."""
-    sent = classes.sparkSession.sparkContext.broadcast(np.minimum(frequencies(classes), 0xFFFFFFFF).astype(np.uint32))
+def ranks(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The pairs of each row, as places, rarest first."""
+    return np.lexsort((pairs, counts[pairs % np.uint64(SKETCH)]), axis=-1)
+
+
+def postings(classes: DataFrame, prefix: int, counts) -> DataFrame:
+    """pair, node: each class under its rarest pairs. ``counts``: a broadcast sketch of frequencies."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             pairs = pair_hashes(matrix(batch.column(1), "<u4", POST))
-            order = np.lexsort((pairs, sent.value[pairs % np.uint64(SKETCH)]), axis=1)[:, :prefix]
+            order = ranks(pairs, counts.value)[:, :prefix]
             nodes = np.repeat(batch.column(0).to_numpy(), prefix)
             yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(pairs, order, 1).ravel().view(np.int64)), pa.array(nodes)], ["pair", "node"])
 
     return classes.select("node", "post").mapInArrow(post, "pair long, node long")
 
 
-def placed(classes: DataFrame, prefix: int) -> DataFrame:
-    """pair, lo, hi, node, mine, n, sig: the lists with more than one class, in blocks; a block goes wherever it is compared."""
-    posts = postings(classes, prefix)
+def placed(classes: DataFrame, prefix: int, counts) -> DataFrame:
+    """pair, lo, hi, node, mine, n, post, sig: the lists with more than one class, in blocks; a block goes wherever it is compared."""
+    posts = postings(classes, prefix, counts)
     lists = posts.groupBy("pair").agg(F.count("*").alias("size")).where("size > 1")
-    rows = posts.join(lists, "pair").join(classes.select("node", F.col("n_shingles").alias("n"), "sig"), "node")
+    rows = posts.join(lists, "pair").join(classes.select("node", F.col("n_shingles").alias("n"), "post", "sig"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node", "pair"), blocks).cast("int")
     other = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return other.select("pair", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "mine", "n", "sig")
+    return other.select("pair", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "mine", "n", "post", "sig")
 
 
 def spanning(a: np.ndarray, b: np.ndarray, equal: np.ndarray, size: int) -> np.ndarray:
@@ -204,19 +207,25 @@ def spanning(a: np.ndarray, b: np.ndarray, equal: np.ndarray, size: int) -> np.n
     return np.array(chosen, np.int64)
 
 
-def compared(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+def compared(rows: DataFrame, percent: int, forest: bool, counts) -> DataFrame:
     """a, b: pairs of classes that meet in a block and agree in enough coordinates, and have different labels."""
-    enough, width = least_equal(POST + MORE, percent), POST + MORE
+    enough = least_equal(POST + MORE, percent)
 
-    def group(nodes, label, mine, n, sig, lo, hi) -> tuple[np.ndarray, np.ndarray]:
+    def group(nodes, label, mine, n, post, sig, pair, lo, hi) -> tuple[np.ndarray, np.ndarray]:
         left, right = (np.arange(len(nodes)),) * 2 if lo == hi else (np.flatnonzero(mine == lo), np.flatnonzero(mine == hi))
         found = []
         for k, i in enumerate(left):
             others = right[k + 1 :] if lo == hi else right
             others = others[(label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
             if len(others):
-                equal = (sig[others] == sig[i]).sum(axis=1)
+                common = post[others] == post[i]
+                equal = common.sum(axis=1) + (sig[others] == sig[i]).sum(axis=1)
                 some = equal >= enough
+                if some.any():
+                    own = pair_hashes(post[i])
+                    order = np.empty(POST, np.int64)
+                    order[ranks(own, counts.value)] = np.arange(POST)
+                    some &= np.where(common, order, POST).min(axis=1) == order[own == np.int64(pair).view(np.uint64)][0]
                 if some.any():
                     found.append((np.full(some.sum(), i), others[some], equal[some]))
         if not found:
@@ -236,7 +245,7 @@ def compared(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
             starts = np.concatenate([[0], new])
             ends = np.concatenate([new, [len(pair)]])
             full = len(starts) if last else len(starts) - 1
-            out = [group(*(c[s:e] for c in columns[3:]), lo[s], hi[s]) for s, e in zip(starts[:full], ends[:full]) if e - s > 1]
+            out = [group(*(c[s:e] for c in columns[3:]), pair[s], lo[s], hi[s]) for s, e in zip(starts[:full], ends[:full]) if e - s > 1]
             a, b = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), ())))
             rest = [c[starts[-1] :] for c in columns]
             return rest, pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -244,26 +253,21 @@ def compared(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(7)] + [matrix(batch.column(7), "u1", width)]
+            columns = [batch.column(i).to_numpy() for i in range(7)] + [matrix(batch.column(7), "<u4", POST), matrix(batch.column(8), "u1", MORE)]
             columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
             held, out = work(columns, False)
             yield out
         if held is not None:
             yield work(held, True)[1]
 
-    ordered = rows.select("pair", "lo", "hi", "node", "label", "mine", "n", "sig").repartition("pair", "lo", "hi").sortWithinPartitions("pair", "lo", "hi")
+    ordered = rows.select("pair", "lo", "hi", "node", "label", "mine", "n", "post", "sig").repartition("pair", "lo", "hi").sortWithinPartitions("pair", "lo", "hi")
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
-def bounded(small: DataFrame) -> DataFrame:
-    """A hint to broadcast, if the rows are few."""
-    return F.broadcast(small) if small.count() <= MAX_BROADCAST else small
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """u, v: the pairs whose full sets are as similar as asked."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(nodes.join(classes.select("node", "doc_id"), "node"), "candidates")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = scratch.table(nodes.join(classes.select("node", "doc_id"), "node"), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +278,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, percent: int,
 
     # A repeated id may bring other texts along; they are told apart by their node.
     texts = id_text(df, id_col, text_col).join(bounded(wanted), "doc_id").select("node", "text")
-    full = materialise(texts.mapInArrow(sets, "node long, x binary").dropDuplicates(["node"]), "shingle-sets")
+    full = scratch.table(texts.mapInArrow(sets, "node long, x binary").dropDuplicates(["node"]), "shingle-sets")
 
     @F.pandas_udf("boolean")
     def similar(x, y):
@@ -294,23 +298,24 @@ def confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, percent: int,
 def near_groups(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id of the group), kept: one row for each row of ``df``."""
     ship(df.sparkSession)
-    made = materialise(sketches(df, id_col, text_col), "sketches")
-    some = made.where("node is not null and doc_id is not null")
-    classes = materialise(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("post").alias("post"), F.first("sig").alias("sig")), "classes")
-    lists = materialise(placed(classes, POST - least_equal(POST, percent) + 1), "postings")
-    first = materialise(compared(lists.withColumn("label", F.col("node")), percent, True), "pairs")
-    links = materialise(confirmed(first, classes, df, percent, id_col, text_col), "links")
-    early = components(links, rounds=2, complete=False)
-    labelled = lists.join(early, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    rest = materialise(compared(labelled, percent, False).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirmed(rest, classes, df, percent, id_col, text_col))
-    roots = materialise(components(links), "roots")
-    linked = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = linked.join(names, "root").select("node", "component_id")
-    out = made.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with Scratch(df.sparkSession) as scratch:
+        made = scratch.table(sketches(df, id_col, text_col), "sketches")
+        some = made.where("node is not null and doc_id is not null")
+        classes = scratch.table(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("post").alias("post"), F.first("sig").alias("sig")), "classes")
+        counts = df.sparkSession.sparkContext.broadcast(np.minimum(frequencies(classes), 0xFFFFFFFF).astype(np.uint32))
+        lists = scratch.table(placed(classes, POST - least_equal(POST, percent) + 1, counts), "postings")
+        first = scratch.table(compared(lists.withColumn("label", F.col("node")), percent, True, counts), "pairs")
+        links = scratch.table(confirmed(first, classes, df, percent, id_col, text_col, scratch), "links")
+        labelled = lists.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node"))
+        rest = scratch.table(compared(labelled, percent, False, counts).join(first, ["a", "b"], "left_anti"), "pairs")
+        roots = components(links.unionByName(confirmed(rest, classes, df, percent, id_col, text_col, scratch)))
+        linked = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        named = linked.join(names, "root").select("node", "component_id")
+        out = made.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+        return materialise(out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), "near-groups")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
