@@ -4,7 +4,7 @@
    class from here on, however many there are.
 2. Classes are posted under coordinate-value pairs. Two sets that are as similar
    as asked agree in at least ``t`` of ``POST`` posted coordinates (but for a
-   chance of about one in a hundred thousand at the threshold itself), so they
+   chance of a few in a hundred thousand at the threshold itself), so they
    meet under one of each other's first POST - t + 1 pairs in any fixed order: the
    prefix. The order is rarest first, by a count sketch of fixed size, so that
    pairs that very many texts have are skipped.
@@ -12,9 +12,9 @@
    ``BLOCK`` are split, and blocks are compared with blocks; only those with
    enough equal coordinates come out, and only under the first pair in the order
    that both have, so each once. First only a spanning forest of each block,
-   most alike first, is checked on the full sets; then, of what the links found
-   so far leave apart, everything else. So a group of a thousand alike texts
-   gives about a thousand pairs.
+   most alike first, is checked on the full sets; then another one of what the
+   links found so far leave apart; then all that is left apart. So a group of a
+   thousand alike texts gives some thousand pairs.
 4. Links are confirmed on full shingle sets; components of links are the groups.
 
 Defined results: null and empty texts, and texts without words, have no shingles
@@ -40,11 +40,11 @@ from tidemark.llm.common import bounded, id_text, table
 from tidemark.llm.components import components
 from tidemark.runtime import Scratch, materialise, ship
 
-SHINGLE, POST, MORE = 5, 48, 272
+SHINGLE, POST, MORE = 5, 48, 400
 SKETCH = 1 << 19
 BLOCK = 256
 #: How many standard deviations below its mean the number of equal coordinates may lie.
-DEVIATIONS = 4.5
+DEVIATIONS = 4.25
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -304,11 +304,14 @@ def near_groups(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_c
         classes = scratch.table(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("post").alias("post"), F.first("sig").alias("sig")), "classes")
         counts = df.sparkSession.sparkContext.broadcast(np.minimum(frequencies(classes), 0xFFFFFFFF).astype(np.uint32))
         lists = scratch.table(placed(classes, POST - least_equal(POST, percent) + 1, counts), "postings")
-        first = scratch.table(compared(lists.withColumn("label", F.col("node")), percent, True, counts), "pairs")
-        links = scratch.table(confirmed(first, classes, df, percent, id_col, text_col, scratch), "links")
-        labelled = lists.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node"))
-        rest = scratch.table(compared(labelled, percent, False, counts).join(first, ["a", "b"], "left_anti"), "pairs")
-        roots = components(links.unionByName(confirmed(rest, classes, df, percent, id_col, text_col, scratch)))
+        tried = links = None
+        for forest in (True, True, False):
+            labels = lists.withColumn("label", F.col("node")) if links is None else lists.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node"))
+            pairs = compared(labels, percent, forest, counts)
+            pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = scratch.table(confirmed(pairs, classes, df, percent, id_col, text_col, scratch), "links")
+            tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
+        roots = components(links)
         linked = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         named = linked.join(names, "root").select("node", "component_id")
