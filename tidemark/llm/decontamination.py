@@ -27,7 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import bounded, table
+from tidemark.runtime import materialise
 
 WINDOW, SHORTEST, LITERALS, MIN_WINDOWS = 8, 5, 5, 2
 MAX_BROADCAST = 2_000_000
@@ -99,8 +100,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     hits = reduce(DataFrame.unionByName, found).join(bench, "item_key")
     needed = F.least(F.lit(min_windows), F.greatest(F.size("words") - F.col("size") + 1, F.lit(1)))
     hits = hits.where(F.size("at") >= needed)
-    # Both sides hold only rows of documents with hits; a text is read again for its values.
-    texts = rows.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", values(F.col("text")).alias("doc_raw"))
+    # A table, since it is read twice. A text is read again for its values, if its document has hits.
+    hits = materialise(hits, "hits")
+    texts = rows.join(bounded(hits.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", values(F.col("text")).alias("doc_raw"))
     joined = hits.join(texts, "key")
     inside = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
     pairs = F.array_distinct(
