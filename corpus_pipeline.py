@@ -30,8 +30,9 @@ SIMILAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = predict(docs, train(docs), (F.struct(*(docs[c] for c in docs.columns)).alias("_row"),))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    names = [f"_{i}" for i in range(len(docs.columns))]  # so that no column is called like one of the operator's
+    judged = predict(docs.toDF(*names), train(docs), tuple(names), names[docs.columns.index("text")])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*names).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

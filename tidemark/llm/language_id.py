@@ -147,16 +147,20 @@ def predict(df: DataFrame, model: Model, keep: tuple[Column | str, ...] = (), te
     ship(spark)
     sent = spark.sparkContext.broadcast((model.languages, zlib.compress(model.masks.tobytes(), 1)))
     kept = df.select(*keep)
+    # A text that is kept anyway is not sent twice.
+    at = kept.columns.index(text_col) if any(isinstance(c, str) and c == text_col for c in keep) else len(kept.columns)
+    rows = kept if at < len(kept.columns) else df.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    n = len(kept.columns)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, masks = sent.value
         m = Model(languages, np.frombuffer(zlib.decompress(masks), np.uint64))
         for batch in batches:
-            found = [m.judge(t.as_py()) for t in batch.columns[-1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            found = [m.judge(t.as_py()) for t in batch.columns[at]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names[:n], "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"])
-    return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(judge, schema)
+    return rows.mapInArrow(judge, schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
