@@ -43,6 +43,8 @@ NULL_ID = -(1 << 63)
 #: Rows of task counts that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_TASKS = 1_000_000
 ROUNDS, WAVES = 4, 4
+#: Records of one outgoing batch, about.
+RECORDS = 4096
 #: Lets go of a write's shuffle files when it ends.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHARD = re.compile(r"from-(\d+)/part-(\d+)")
@@ -86,16 +88,23 @@ def sequences(df: DataFrame, seq_len: int, id_col: str = "doc_id", text_col: str
         from pyspark import TaskContext
 
         enc, task, at = encoder(files), TaskContext.get().partitionId(), 0
+        def flush(records: list[bytes]) -> pa.RecordBatch:
+            numbers = np.arange(at, at + len(records), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(records), task, np.int64)), pa.array(numbers), pa.array(records, pa.binary())], ["task", "ordinal", "record"])
+
         for batch in batches:
-            records = []
+            records: list[bytes] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = enc.array(text.as_py() or "").astype("<u2")
                 for no, first in enumerate(range(0, max(1, len(ids)), seq_len)):
                     part = ids[first : first + seq_len]
                     records.append(struct.pack(HEAD, NULL_ID if doc is None else doc, no, len(part)) + part.tobytes())
-            n = len(records)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int64)), pa.array(np.arange(at, at + n, dtype=np.int64)), pa.array(records, pa.binary())], ["task", "ordinal", "record"])
-            at += n
+                if len(records) >= RECORDS:
+                    yield flush(records)
+                    at += len(records)
+                    records = []
+            yield flush(records)
+            at += len(records)
 
     return id_text(df, id_col, text_col).mapInArrow(make, "task long, ordinal long, record binary")
 
@@ -153,9 +162,9 @@ def read_shards(spark: SparkSession, shards: Shards) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard, data = sum(map(int, _SHARD.search(path).groups())), content.as_buffer()
                 view = memoryview(data)
-                for first in range(0, len(view), stride * 4096):
+                for first in range(0, len(view), stride * RECORDS):
                     rows = []
-                    for at in range(first, min(len(view), first + stride * 4096), stride):
+                    for at in range(first, min(len(view), first + stride * RECORDS), stride):
                         doc, no, n = struct.unpack_from(HEAD, view, at)
                         ids = bytes(view[at + HEAD_SIZE : at + HEAD_SIZE + 2 * n])
                         rows.append((shard * per_shard + at // stride, shard, at, None if doc == NULL_ID else doc, no, n, ids))
