@@ -43,6 +43,27 @@ def test_new_parameters_are_caught_if_they_are_consistent(spark):
     assert got[1, 7]["changed"] == 0 and got[2, 7]["changed"] >= 2 and got[2, 7]["n_slots"] >= 2
 
 
+def test_verbatim_passages_are_caught_in_any_case_and_after_any_word(spark):
+    item = "Every morning the baker Tom sells bread, Rolls and cake to the people of Bergen, Oslo and other towns near the sea"
+    docs = [
+        (1, item.upper()),
+        (2, item.replace(", Rolls", ",\nRolls").replace("baker Tom", "baker\tTom").replace(", Oslo", ",\n\nOslo")),
+        (3, "THE NEWS, " + " ".join(w.capitalize() for w in item.split()) + ", IT SAYS"),
+        (4, item.lower()),
+        (5, "Every morning the baker sells other things than bread to the people of Bergen and Oslo"),
+    ]
+    got = found(spark, docs, [(7, item)])
+    assert set(got) == {(i, 7) for i in (1, 2, 3, 4)}
+    assert all(r["share"] == 1 and r["changed"] == 0 for r in got.values())
+
+
+def test_plain_words_and_templates_go_together(spark):
+    text = "He saw Ann (and Bob), paid $3.50 for 2.5 kg -- then left; 1,000 miles? It's OK 5km v2.0 ... 3:4, \u0001"
+    row = spark.range(1).select(dc.template(dc.F.lit(text)).alias("t"), dc.plain(dc.F.lit(text)).alias("p")).first()
+    assert len(row["t"]) == len(row["p"])
+    assert row["p"][:11] == ["he", "saw", "ann", "and", "bob", "paid", "3.50", "for", "2.5", "kg", "then"] and "3:4" in row["p"]
+
+
 def test_odd_rows(spark, odd, none):
     docs = [(1, None), (2, ""), (3, " "), (None, ITEM), (4, ITEM), (4, ITEM), (5, ITEM + " " + ITEM), (6, "one two three four five six"), (7, "zero one two three four five six seven")]
     items = [(7, ITEM), (8, None), (9, ""), (10, "too few words"), (11, "one two three four five six"), (7, ITEM)]

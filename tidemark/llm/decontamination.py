@@ -4,9 +4,12 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 units after a number turn into typed placeholders; case and punctuation go.
 Windows of ``WINDOW`` template words of the benchmark are hash-joined with those
 of the documents, so a question is found again with other numbers or names in
-it. Then slots are checked: along one alignment of a document and an item, each
-value in the item's slots must stand for one value in the document, and the
-other way round. Alignments that fail are dropped.
+it. Windows of the plain words in lower case are joined beside them, so a passage
+that stands as it is counts whatever case, line breaks or the words before it
+make of its template. Then slots are checked: along one alignment of a document
+and an item, each value in the item's slots must stand for one value in the
+document, and the other way round. Alignments that fail with the template
+windows alone and with the verbatim ones added are dropped.
 
 Everything is DataFrame functions. Windows are made by zipping shifted arrays of
 word hashes. The benchmark's windows are broadcast only if they are at most
@@ -52,6 +55,16 @@ def template(text: Column) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda w: w != F.lit(""))
 
 
+def plain(text: Column) -> Column:
+    """The words of a text in lower case. They stand one to one with ``template``; points inside numbers stay."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?:(?<!\d)[.,:/]|[.,:/](?!\d)|[^\p{L}\p{N}\s\u0001-\u0003.,:/])+", "")
+    return F.filter(F.split(t, r"\s+"), lambda w: w != F.lit(""))
+
+
+def hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def values(text: Column) -> Column:
     """The words of a text as they stand, without those that have no letter or digit."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.rlike(w, F.lit(r"[\p{L}\p{N}\u0001-\u0003]")))
@@ -62,24 +75,29 @@ def clean(value: Column) -> Column:
 
 
 def windows(words: DataFrame, size: int) -> DataFrame:
-    """key, pos, h: one row for each window of ``size`` hashes of the array column ``hashes``."""
-    shifted = [F.slice("hashes", F.lit(i + 1), F.greatest(F.size("hashes") - size + 1, F.lit(0))).alias(f"w{i}") for i in range(size)]
-    rows = words.where(F.size("hashes") >= size).select("key", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
-    return rows.select("key", "pos", F.xxhash64(*(F.col(f"w.w{i}") for i in range(size))).alias("h"))
+    """key, pos, t, p: one row for each window of ``size`` hashes of the array columns ``t`` (template) and ``p`` (plain)."""
+    shifted = [F.slice(c, F.lit(i + 1), F.greatest(F.size(c) - size + 1, F.lit(0))).alias(f"{c}{i}") for c in "tp" for i in range(size)]
+    rows = words.where(F.size("t") >= size).select("key", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
+    return rows.select("key", "pos", *(F.xxhash64(*(F.col(f"w.{c}{i}") for i in range(size))).alias(c) for c in "tp"))
 
 
 def benchmark_windows(items: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, dict[int, DataFrame]]:
     """The items with their words, and their windows by size."""
     spark = items.sparkSession
-    words = items.select(items[item_col].cast("long").alias("item_id"), template(items[text_col]).alias("words"), values(items[text_col]).alias("raw")).where(F.size("words") >= SHORTEST).distinct()
-    words = words.withColumn("key", F.xxhash64("item_id", "words", "raw")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
+    words = items.select(items[item_col].cast("long").alias("item_id"), template(items[text_col]).alias("words"), hashes(plain(items[text_col])).alias("p"), values(items[text_col]).alias("raw")).where(F.size("words") >= SHORTEST).distinct()
+    words = words.withColumn("key", F.xxhash64("item_id", "words", "raw")).withColumn("t", hashes(F.col("words"))).withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
     sizes = [r["size"] for r in words.select("size").distinct().collect()]  # at most WINDOW - SHORTEST + 1 numbers
     made = {}
     for size in sorted(sizes):
         own = words.where(F.col("size") == size)
         w = windows(own, size).join(own.select("key", "words"), "key")
         literal = F.size(F.filter(F.slice("words", F.col("pos") + 1, F.lit(size)), lambda x: ~F.rlike(x, F.lit("[\u0001-\u0003]"))))
-        made[size] = w.where(literal >= min(LITERALS, size - 1)).select(F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "h")
+        light = literal >= min(LITERALS, size - 1)
+        # Both hashes are equal where the window has no slots.
+        exact = F.struct(F.col("p").alias("h"), F.lit(True).alias("exact"), (light & (F.col("t") == F.col("p"))).alias("light"))
+        slotted = F.struct(F.col("t").alias("h"), F.lit(False).alias("exact"), light.alias("light"))
+        w = w.withColumn("r", F.explode(F.when(F.col("t") == F.col("p"), F.array(exact)).otherwise(F.array(exact, slotted))))
+        made[size] = w.where("r.exact or r.light").select(F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "r.*")
     return words.select(F.col("key").alias("item_key"), "item_id", "words", "raw", "size"), made
 
 
@@ -90,20 +108,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, share double, n_slots int, changed int, row_key long")
     if not by_size:
         return empty
-    hashed = rows.select("key", F.transform(template(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    hashed = rows.select("key", hashes(template(F.col("text"))).alias("t"), hashes(plain(F.col("text"))).alias("p"))
+    both = F.when(F.col("t") == F.col("p"), F.array("t")).otherwise(F.array("t", "p"))
+    sets = [F.collect_set(F.when(F.col(c), F.col("item_pos"))).alias(c) for c in ("light", "exact")]
     found = []
     for size, wanted in by_size.items():
         if wanted.count() <= MAX_BROADCAST:
             wanted = F.broadcast(wanted)
-        hits = windows(hashed, size).join(wanted, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
-        found.append(hits.groupBy("key", "item_key", "shift").agg(F.collect_set("item_pos").alias("at")))
+        hits = windows(hashed, size).select("key", "pos", F.explode(both).alias("h")).join(wanted, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
+        found.append(hits.groupBy("key", "item_key", "shift").agg(*sets))
     hits = reduce(DataFrame.unionByName, found).join(bench, "item_key")
     needed = F.least(F.lit(min_windows), F.greatest(F.size("words") - F.col("size") + 1, F.lit(1)))
-    hits = hits.where(F.size("at") >= needed)
+    hits = hits.where(F.size(F.array_union("light", "exact")) >= needed)
     # A table, since it is read twice. A text is read again for its values, if its document has hits.
     hits = materialise(hits, "hits")
     texts = rows.join(bounded(hits.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", values(F.col("text")).alias("doc_raw"))
-    joined = hits.join(texts, "key")
+    # Sets of windows that may flag the pair, each with slots of its own.
+    readings = F.filter(F.array_distinct(F.array("light", F.array_union("light", "exact"))), lambda at: F.size(at) >= needed)
+    joined = hits.withColumn("at", F.explode(readings)).join(texts, "key")
     inside = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
     pairs = F.array_distinct(
         F.transform(
