@@ -64,6 +64,24 @@ def test_plain_words_and_templates_go_together(spark):
     assert row["p"][:11] == ["he", "saw", "ann", "and", "bob", "paid", "3.50", "for", "2.5", "kg", "then"] and "3:4" in row["p"]
 
 
+def test_items_rich_in_slots(spark):
+    items = [
+        (1, "Compute 12 + 7 * 3 - 4 / 2 for x = 5"),
+        (2, "What is 48 + 17 - 9 + 26?"),
+        (3, "Solve 3 x + 7 y = 21 and 5 x - 2 y = 4 for x"),
+        (4, "In 1998 Anna Smith met Bob Jones in Paris and Carl Brown in Rome"),
+        (5, "11 12 13 14 15 16 17 18 19"),
+    ]
+    docs = [(10 + i, f"Some text before. {t} And some after.") for i, t in items] + [
+        (22, "What is 51 + 22 - 8 + 30?"),
+        (23, "Solve 4 x + 9 y = 31 and 6 x - 8 y = 2 for x"),
+        (24, "In 1971 Anna Black met Tim White in Oslo and Sam Green in Bonn"),
+        (33, "Solve 4 x + 9 y = 31 and 6 x - 8 y = 2 for"),
+        (35, "21 22 23 24 25 26 27 28 29 30"),
+    ]
+    assert set(found(spark, docs, items)) == {(10 + i, i) for i, _ in items} | {(22, 2), (23, 3), (24, 4)}
+
+
 def test_odd_rows(spark, odd, none):
     docs = [(1, None), (2, ""), (3, " "), (None, ITEM), (4, ITEM), (4, ITEM), (5, ITEM + " " + ITEM), (6, "one two three four five six"), (7, "zero one two three four five six seven")]
     items = [(7, ITEM), (8, None), (9, ""), (10, "too few words"), (11, "one two three four five six"), (7, ITEM)]

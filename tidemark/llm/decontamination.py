@@ -11,6 +11,11 @@ and an item, each value in the item's slots must stand for one value in the
 document, and the other way round. Alignments that fail with the template
 windows alone and with the verbatim ones added are dropped.
 
+Template windows with few literal words (less than ``LITERALS`` of ``WINDOW``)
+say little alone: they count if they are verbatim, or if the item is there from
+end to end and all its slots are consistent. An item without any literal word is
+found by its values only.
+
 Everything is DataFrame functions. Windows are made by zipping shifted arrays of
 word hashes. The benchmark's windows are broadcast only if they are at most
 ``MAX_BROADCAST`` rows; more are joined by a shuffle. The documents found are
@@ -91,13 +96,14 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str) -> tuple[D
     for size in sorted(sizes):
         own = words.where(F.col("size") == size)
         w = windows(own, size).join(own.select("key", "words"), "key")
-        literal = F.size(F.filter(F.slice("words", F.col("pos") + 1, F.lit(size)), lambda x: ~F.rlike(x, F.lit("[\u0001-\u0003]"))))
+        literals = lambda words: F.size(F.filter(words, lambda x: ~F.rlike(x, F.lit("[\u0001-\u0003]"))))
+        literal = literals(F.slice("words", F.col("pos") + 1, F.lit(size)))
         light = literal >= min(LITERALS, size - 1)
         # Both hashes are equal where the window has no slots.
         exact = F.struct(F.col("p").alias("h"), F.lit(True).alias("exact"), (light & (F.col("t") == F.col("p"))).alias("light"))
         slotted = F.struct(F.col("t").alias("h"), F.lit(False).alias("exact"), light.alias("light"))
         w = w.withColumn("r", F.explode(F.when(F.col("t") == F.col("p"), F.array(exact)).otherwise(F.array(exact, slotted))))
-        made[size] = w.where("r.exact or r.light").select(F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "r.*")
+        made[size] = w.where(F.col("r.exact") | F.col("r.light") | (literals(F.col("words")) > 0)).select(F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "r.*")
     return words.select(F.col("key").alias("item_key"), "item_id", "words", "raw", "size"), made
 
 
@@ -110,7 +116,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return empty
     hashed = rows.select("key", hashes(template(F.col("text"))).alias("t"), hashes(plain(F.col("text"))).alias("p"))
     both = F.when(F.col("t") == F.col("p"), F.array("t")).otherwise(F.array("t", "p"))
-    sets = [F.collect_set(F.when(F.col(c), F.col("item_pos"))).alias(c) for c in ("light", "exact")]
+    sets = [F.collect_set(F.when(F.col(c), F.col("item_pos"))).alias(c) for c in ("light", "exact")] + [F.collect_set("item_pos").alias("any")]
     found = []
     for size, wanted in by_size.items():
         if wanted.count() <= MAX_BROADCAST:
@@ -118,13 +124,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         hits = windows(hashed, size).select("key", "pos", F.explode(both).alias("h")).join(wanted, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
         found.append(hits.groupBy("key", "item_key", "shift").agg(*sets))
     hits = reduce(DataFrame.unionByName, found).join(bench, "item_key")
-    needed = F.least(F.lit(min_windows), F.greatest(F.size("words") - F.col("size") + 1, F.lit(1)))
-    hits = hits.where(F.size(F.array_union("light", "exact")) >= needed)
+    of_item = F.greatest(F.size("words") - F.col("size") + 1, F.lit(1))
+    needed = F.least(F.lit(min_windows), of_item)
+    whole = F.size("any") == of_item
+    hits = hits.where((F.size(F.array_union("light", "exact")) >= needed) | whole)
     # A table, since it is read twice. A text is read again for its values, if its document has hits.
     hits = materialise(hits, "hits")
     texts = rows.join(bounded(hits.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", values(F.col("text")).alias("doc_raw"))
     # Sets of windows that may flag the pair, each with slots of its own.
-    readings = F.filter(F.array_distinct(F.array("light", F.array_union("light", "exact"))), lambda at: F.size(at) >= needed)
+    readings = F.filter(F.array_distinct(F.array("light", F.array_union("light", "exact"), F.when(whole, F.col("any")).otherwise(F.array().cast("array<int>")))), lambda at: F.size(at) >= needed)
     joined = hits.withColumn("at", F.explode(readings)).join(texts, "key")
     inside = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
     pairs = F.array_distinct(
@@ -137,7 +145,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     n = F.size("pairs")
     consistent = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda x: x["d"]))) == n)
     out = checked.where(consistent).select(
-        F.col("key").alias("row_key"), "doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), (F.size("at") / F.greatest(F.size("words") - F.col("size") + 1, F.lit(1))).alias("share"),
+        F.col("key").alias("row_key"), "doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), (F.size("at") / of_item).alias("share"),
         n.alias("n_slots"), F.size(F.filter("pairs", lambda x: ~x["b"].eqNullSafe(x["d"]))).alias("changed"),
     )
     best = F.max(F.struct("n_windows", "share", "n_slots", (-F.col("changed")).alias("unchanged")))
