@@ -82,6 +82,14 @@ def test_items_rich_in_slots(spark):
     assert set(found(spark, docs, items)) == {(10 + i, i) for i, _ in items} | {(22, 2), (23, 3), (24, 4)}
 
 
+def test_one_other_slot_does_not_hide_a_verbatim_item(spark):
+    item = "Early in the day Tom walks to the market " + " ".join(f"word{chr(97 + i)}" for i in range(33)) + " and at night old Tom walks home from there again"
+    assert len(item.split()) == 52
+    other = item.replace("old Tom", "old Ann")
+    got = found(spark, [(1, item), (2, other), (3, other.upper())], [(7, item)])
+    assert set(got) == {(1, 7), (2, 7), (3, 7)} and got[1, 7]["n_windows"] == 45 and got[2, 7]["n_windows"] == 39
+
+
 def test_odd_rows(spark, odd, none):
     docs = [(1, None), (2, ""), (3, " "), (None, ITEM), (4, ITEM), (4, ITEM), (5, ITEM + " " + ITEM), (6, "one two three four five six"), (7, "zero one two three four five six seven")]
     items = [(7, ITEM), (8, None), (9, ""), (10, "too few words"), (11, "one two three four five six"), (7, ITEM)]

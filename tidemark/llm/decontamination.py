@@ -9,7 +9,8 @@ that stands as it is counts whatever case, line breaks or the words before it
 make of its template. Then slots are checked: along one alignment of a document
 and an item, each value in the item's slots must stand for one value in the
 document, and the other way round. Alignments that fail with the template
-windows alone and with the verbatim ones added are dropped.
+windows alone and with the verbatim ones added are dropped, unless at least
+``VERBATIM`` of the item's windows are verbatim.
 
 Template windows with few literal words (less than ``LITERALS`` of ``WINDOW``)
 say little alone: they count if they are verbatim, or if the item is there from
@@ -39,6 +40,8 @@ from tidemark.llm.common import bounded, table
 from tidemark.runtime import materialise
 
 WINDOW, SHORTEST, LITERALS, MIN_WINDOWS = 8, 5, 5, 2
+#: The share of an item's windows that flags it if they are verbatim, whatever the other slots say.
+VERBATIM = 0.5
 MAX_BROADCAST = 2_000_000
 #: Words that are units after a number.
 UNITS = "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz pound pounds ton tons ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw v a j kj cal kcal k c f degree degrees percent dollar dollars euro euros cent cents usd eur gbp b kb mb gb tb m2 m3 km2 kmh mph"
@@ -133,7 +136,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     texts = rows.join(bounded(hits.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", values(F.col("text")).alias("doc_raw"))
     # Sets of windows that may flag the pair, each with slots of its own.
     readings = F.filter(F.array_distinct(F.array("light", F.array_union("light", "exact"), F.when(whole, F.col("any")).otherwise(F.array().cast("array<int>")))), lambda at: F.size(at) >= needed)
-    joined = hits.withColumn("at", F.explode(readings)).join(texts, "key")
+    verbatim = (F.size("exact") >= needed) & (F.size("exact") >= VERBATIM * of_item)
+    readings = F.transform(readings, lambda at: F.struct(at.alias("at"), F.lit(False).alias("sure")))
+    readings = F.concat(readings, F.when(verbatim, F.array(F.struct(F.col("exact").alias("at"), F.lit(True).alias("sure")))).otherwise(F.filter(readings, lambda _: F.lit(False))))
+    joined = hits.withColumn("r", F.explode(readings)).withColumns({"at": F.col("r.at"), "sure": F.col("r.sure")}).join(texts, "key")
     inside = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
     pairs = F.array_distinct(
         F.transform(
@@ -144,7 +150,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     checked = joined.withColumn("pairs", pairs)
     n = F.size("pairs")
     consistent = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda x: x["d"]))) == n)
-    out = checked.where(consistent).select(
+    out = checked.where(F.col("sure") | consistent).select(
         F.col("key").alias("row_key"), "doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), (F.size("at") / of_item).alias("share"),
         n.alias("n_slots"), F.size(F.filter("pairs", lambda x: ~x["b"].eqNullSafe(x["d"]))).alias("changed"),
     )
