@@ -406,6 +406,46 @@ def q37(spark, d):
     return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.rand(7) * 200 + 300).alias("timeout_ms"))
 
 
+#: Every user and ten ids after the last one, which have no log.
+PROBES = "(SELECT DISTINCT user_id AS id FROM events UNION SELECT m + range FROM (SELECT max(user_id) AS m FROM events), range(1, 11))"
+
+
+def _probes(spark, d):
+    users = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("long").alias("id"))
+    absent = users.agg(F.max("id").alias("m")).select(F.explode(F.sequence(F.col("m") + 1, F.col("m") + 10)).alias("id"))
+    return users.distinct().unionByName(absent)
+
+
+def _probe_keys(spark, d):
+    return _probes(spark, d).select(F.col("id").cast("string").alias("key"))
+
+
+@query("q03b_batch_get_all", LATEST + f""" SELECT k.key, CASE WHEN l.op IS NULL THEN 'absent' WHEN l.op = 1 THEN 'hit' ELSE 'deleted' END AS state, CASE WHEN l.op = 1 THEN l.value END AS value
+  FROM (SELECT CAST(id AS VARCHAR) AS key FROM {PROBES}) k LEFT JOIN latest l ON l.key = k.key""")
+def q03b(spark, d):
+    return lww.batch_get(log(spark, d), _probe_keys(spark, d))
+
+
+@query("q10c_bloom_probe_all", BITS + f""", p AS (SELECT n.segment, CAST(r.id AS VARCHAR) AS key, n.m FROM n, {PROBES} r), ph AS (SELECT segment, key, m, {FNV} AS h FROM p),
+  pb AS (SELECT segment, key, CAST(((h % 4294967296 + i * ((h // 4294967296) + CASE WHEN (h // 4294967296) % 2 = 0 THEN 1 ELSE 0 END)) % 4294967296) % m AS BIGINT) AS bit FROM ph, range(0, 6) t(i))
+  SELECT pb.segment, pb.key, bool_and(b.bit IS NOT NULL) AS maybe FROM pb LEFT JOIN bits b ON b.segment = pb.segment AND b.bit = pb.bit GROUP BY pb.segment, pb.key""")
+def q10c(spark, d):
+    filters = bloom.build(log(spark, d))
+    return bloom.probe(filters, filters.select("segment").crossJoin(_probe_keys(spark, d)))
+
+
+@query("q15b_missing_keys_all", C + f" SELECT CAST(id AS VARCHAR) AS key FROM {PROBES} r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.key = CAST(r.id AS VARCHAR))")
+def q15b(spark, d):
+    return lww.missing(log(spark, d), _probe_keys(spark, d))
+
+
+@query("q31b_last_entries_all", f"""SELECT n.id AS node, coalesce(l.last_idx, 0) AS last_idx, coalesce(l.last_term, 0) AS last_term, coalesce(l.length, 0) AS length FROM {PROBES} n
+  LEFT JOIN (SELECT user_id AS node, max(event_id) AS last_idx, arg_max(event_id // 300, event_id) AS last_term, count(*) AS length FROM events GROUP BY 1) l ON l.node = n.id""")
+def q31b(spark, d):
+    entries = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id as node", "event_id as idx", "event_id div 300 as term")
+    return quorum.last_entries(entries, _probes(spark, d).select(F.col("id").alias("node")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
