@@ -11,3 +11,12 @@ def test_probes_cover_all_users(spark):
     assert {int(r["key"]) for r in q["q03b_batch_get_all"](spark, BIG).collect()} == users | absent
     assert {int(r["key"]) for r in q["q15b_missing_keys_all"](spark, BIG).collect()} == absent
     assert {int(r["key"]) for r in q["q10c_bloom_probe_all"](spark, BIG).select("key").distinct().collect()} == users | absent
+
+
+def test_layers_and_peers_cover_whole_tables(spark):
+    q = registry.queries()
+    keys = spark.read.parquet(f"{BIG}/events.parquet").select("user_id").distinct().count()
+    assert q["q06f_compact_keep_tombstones"](spark, BIG).count() == keys
+    assert q["q06e_compact_all"](spark, BIG).count() == q["q01_lww_snapshot"](spark, BIG).count()
+    assert q["q09c_index_seek_all"](spark, BIG).count() == spark.read.parquet(f"{BIG}/orders.parquet").select("o_orderkey").distinct().count()
+    assert q["q24b_peer_map_all"](spark, BIG).count() == 4 * spark.read.parquet(f"{BIG}/supplier.parquet").count()

@@ -446,6 +446,32 @@ def q31b(spark, d):
     return quorum.last_entries(entries, _probes(spark, d).select(F.col("id").alias("node")))
 
 
+@query("q06e_compact_all", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1")
+def q06e(spark, d):
+    return layers.compact(layers.segments(log(spark, d))).select("key", "value", "seq")
+
+
+@query("q06f_compact_keep_tombstones", LATEST + " SELECT key, op, value, seq FROM latest")
+def q06f(spark, d):
+    """All segments merged as if lower data were left: tombstones stay."""
+    return layers.compact(layers.segments(log(spark, d)), full=False).select("key", "op", "value", "seq")
+
+
+@query("q09c_index_seek_all", f"""WITH i AS ({INDEX}), p AS (SELECT o_orderkey // 4096 AS segment, o_orderkey AS probe FROM orders)
+  SELECT p.segment, p.probe, max(CASE WHEN i.key <= p.probe THEN i.key END) AS first_key FROM p JOIN i ON i.segment = p.segment GROUP BY 1, 2""")
+def q09c(spark, d):
+    probes = spark.read.parquet(f"{d}/orders.parquet").select(F.expr("o_orderkey div 4096").alias("segment"), F.col("o_orderkey").alias("probe"))
+    return layers.index_seek(_orders_index(spark, d), probes)
+
+
+@query("q24b_peer_map_all", """SELECT (s - 1) % 5 + 1 AS node, CAST(i + CASE WHEN i >= (s - 1) % 5 + 1 THEN 1 ELSE 0 END AS BIGINT) AS peer_id, ':' || (8000 + 10 * s + i) AS address FROM (SELECT s_suppkey AS s FROM supplier), range(1, 5) t(i)""")
+def q24b(spark, d):
+    """All suppliers, in groups of five nodes; the address tells the group."""
+    s = F.col("s_suppkey")
+    listed = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit(":"), (8000 + 10 * s + i).cast("string"))), " , ")
+    return quorum.peers(spark.read.parquet(f"{d}/supplier.parquet").select(((s - 1) % 5 + 1).alias("node"), listed.alias("peers")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
