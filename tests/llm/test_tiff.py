@@ -85,6 +85,19 @@ def test_pages_of_good_and_bad_files(spark):
     assert tiff.tiff_pages(spark.createDataFrame([], "doc_id long, file binary"), "file", ("doc_id",)).count() == 0
 
 
+def test_pages_after_an_unreadable_one_are_read(spark):
+    pages = [image(4, 4), image(5, 5), image(6, 6)]
+    data = bytearray(tiff.write_tiff(pages))
+    at = struct.unpack_from("<I", data, 4)[0]
+    at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]  # the second directory
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        if struct.unpack_from("<H", data, at + 2 + 12 * i)[0] == tiff.COMPRESSION:
+            struct.pack_into("<H", data, at + 10 + 12 * i, 7)  # JPEG
+    got = tiff.tiff_pages(spark.createDataFrame([(1, data)], "doc_id long, file binary"), "file", ("doc_id",)).collect()
+    assert [(r["page"], r["height"], r["error"]) for r in got] == [(0, 4, None), (1, None, "compression 7"), (2, 6, None)]
+    assert bytes(got[2]["pixels"]) == pages[2].tobytes()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 400), st.integers(0, 255))
 def test_damaged_files_only_raise_their_own_error(at, value):

@@ -6,8 +6,8 @@ PackBits, LZW or deflate, undoes horizontal differencing, and joins planes. The
 writer makes such files from 8-bit pages; the query stores texts with it.
 
 Defined results: a null or empty file gives no page; a file or page that cannot
-be read gives one row with ``error`` and null pixels, and the pages before it
-stay; a chain of directories that turns back on itself ends there. Null ids and
+be read gives one row with ``error`` and null pixels, and the other pages
+stay, as far as the chain of directories can be followed; a chain of directories that turns back on itself ends there. Null ids and
 repeated rows are kept; other columns are ignored unless named in ``keep``.
 """
 
@@ -201,12 +201,15 @@ class Reader:
         end = at + head + count * entry
         return tags, self.number("Q" if self.big else "I", end)
 
-    def pages(self) -> Iterator[Page]:
+    def directories(self) -> Iterator[dict[int, tuple]]:
         at, seen = self.first, set()
         while at and at not in seen:
             seen.add(at)
             tags, at = self.directory(at)
-            yield self.page(tags)
+            yield tags
+
+    def pages(self) -> Iterator[Page]:
+        return map(self.page, self.directories())
 
     def page(self, tags: dict[int, tuple]) -> Page:
         one = lambda tag, default: tags.get(tag, (default,))[0]
@@ -337,8 +340,14 @@ def tiff_pages(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
             for i, media in enumerate(batch.columns[-1]):
                 data, no = media.as_py(), 0
                 try:
-                    for no, p in enumerate(Reader(data).pages() if data else (), 1):
+                    reader = Reader(data) if data else None
+                    for no, tags in enumerate(reader.directories() if reader else (), 1):
                         at.append(i)
+                        try:
+                            p = reader.page(tags)
+                        except TiffError as e:  # the next directory is known all the same
+                            rows.append((no - 1, *[None] * 8, str(e)))
+                            continue
                         rows.append((no - 1, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, feature(p), None))
                         held += len(p.pixels)
                         if held > BATCH:
