@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,11 +41,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine sessions, tests) a local
-    folder is made and set as the context's checkpoint folder.
+    Only where that setting is absent and everything runs on one machine (tests) a
+    local folder is made and set as the context's checkpoint folder. A cluster
+    without the setting is an error, as its executors would write to folders of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
@@ -61,8 +65,11 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: whoever reads the result no longer depends on the
-    shuffle files of executors that may be lost.
+    shuffle files of executors that may be lost. Inside a ``Scratch`` block the
+    table goes when the block ends; else it stays until the folder is cleaned.
     """
+    if Scratch.stack:
+        return Scratch.stack[-1].table(df, name)
     return _written(df, shared_path(df.sparkSession, name))
 
 
@@ -74,9 +81,12 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 class Scratch:
     """Tables of the shared folder that are deleted when the ``with`` block ends.
 
-    What a block returns must not read them any more: materialise it first.
+    What a block returns must not read them any more: return ``result`` of it,
+    which is a table of the enclosing block, or of nobody if there is none.
     """
 
+    stack: list[Scratch] = []  # the blocks that are open, of the one thread that builds plans
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
@@ -84,12 +94,25 @@ class Scratch:
         self.paths.append(shared_path(self.spark, name))
         return _written(df, self.paths[-1])
 
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        path = shared_path(self.spark, name)
+        at = self.stack.index(self)
+        if at:
+            self.stack[at - 1].paths.append(path)
+        return _written(df, path)
+
+    def drop(self) -> None:
+        """Delete what there is so far."""
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
     def __enter__(self) -> Scratch:
+        self.stack.append(self)
         return self
 
     def __exit__(self, *_) -> None:
-        for path in self.paths:
-            remove(self.spark, path)
+        self.stack.remove(self)
+        self.drop()
 
 
 def remove(spark: SparkSession, path: str) -> None:
