@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 MAX_BROADCAST = 1_000_000
 
 
+#: Bytes of a table for each core, up to which its rows are dealt anew if it has fewer files than there are cores.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it is a small table in few files: a row group is one task, however many cores wait.
+
+    Larger tables are read as they lie, so what is moved here is at most ``SPREAD_BYTES`` a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES * cores and len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
