@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import packing, token_counts, training_order
 from tidemark.llm.token_ids import default_files, encoder
@@ -166,3 +167,52 @@ def test_training_order_of_odd_rows(spark, odd, none, tmp_path):
     assert sorted(r["slot"] for r in rows) == list(range(shards.sequences))
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in odd.collect()} and sum(r["doc_id"] == 5 for r in rows) == 2
     assert training_order.read_shards(spark, training_order.write_shards(none, str(tmp_path / "b"))).count() == 0
+
+
+def test_training_order_is_keyed_by_data_alone(spark, documents, tmp_path):
+    from tests.llm.test_sharding import all_ways
+
+    same = spark.range(300).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+
+    def order(df, key=3):
+        path = str(tmp_path / f"s{len(list(tmp_path.iterdir()))}")
+        shards = training_order.write_shards(df, path, seq_len=32, shard_bytes=6000, key=key, copies=20)
+        return [(r["slot"], r["doc_id"], r["seq_no"], bytes(r["ids"])) for r in training_order.read_shards(spark, shards).orderBy("slot").collect()]
+
+    some = documents.select("doc_id", "text").unionByName(same)
+    first, *others = all_ways(spark, some, order)
+    assert [r[0] for r in first] == list(range(len(first))) and all(o == first for o in others)
+    other = order(some, key=4)
+    assert sum(a != b for a, b in zip(first, other)) > len(first) // 2 and sorted(r[1:] for r in first) == sorted(r[1:] for r in other)
+    assert len({i * 10 // len(first) for i, r in enumerate(first) if r[1] == 5}) == 10
+
+
+def test_training_order_query(spark, sf, documents, library, tmp_path):
+    from tests.llm.test_sharding import all_ways
+
+    def rows(df):
+        path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(f"{path}/documents.parquet")
+        return sorted(map(tuple, training_order.op10_training_order(spark, path).collect()))
+
+    first, *others = all_ways(spark, documents, rows)
+    assert all(o == first for o in others) and [r[0] for r in first] == list(range(len(first)))
+    parts = {(doc, no): crc for _, _, _, doc, no, _, crc in first}
+    for r in documents.collect():
+        ids = np.array(library.encode(r["text"], add_special_tokens=False).ids, "<u2")
+        for no, at in enumerate(range(0, max(1, len(ids)), 256)):
+            assert parts.pop((r["doc_id"], no)) == zlib.crc32(ids[at : at + 256].tobytes())
+    assert not parts
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 50, 4097])
+def test_slots_in_sql_are_those_of_the_array_form(spark, n):
+    got = [r[0] for r in spark.range(n).select(training_order.permuted(F.col("id"), n, 11)).collect()]
+    assert got == training_order.feistel(np.arange(n), n, 11).tolist()
+
+
+def test_reading_resumes_at_a_slot(spark, documents, tmp_path):
+    shards = training_order.write_shards(documents, str(tmp_path / "shards"), seq_len=32, shard_bytes=3000)
+    want = sorted(map(tuple, training_order.read_shards(spark, shards).collect()))
+    for first in (0, 1, shards.per_shard - 1, shards.per_shard * 3 + 5, shards.sequences - 1, shards.sequences):
+        assert sorted(map(tuple, training_order.read_shards(spark, shards, first).collect())) == [w for w in want if w[0] >= first]
