@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import id_text, spread, table
 from tidemark.llm.ranks import COPIES, apart, content_hash, in_buckets
 from tidemark.llm.token_ids import default_files, encoder
-from tidemark.runtime import Scratch, shared_path, ship
+from tidemark.runtime import Scratch, remove, shared_path, ship
 
 HEAD = "<qII"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -189,7 +189,7 @@ def write_shards(df: DataFrame, path: str, seq_len: int = 256, key: int = 20_240
                 step = -(-shards // waves)
                 home = shared_path(spark, "placed")
                 placed_in.paths.append(home)
-                slotted(made, n, key, copies=copies).withColumn("wave", F.expr(f"slot div {step * per_shard}")).write.option("compression", "none").partitionBy("wave").parquet(home)
+                slotted(made, n, key, copies=copies).withColumn("wave", F.expr(f"slot div {step * per_shard}")).write.option("compression", "zstd").partitionBy("wave").parquet(home)
             used = F.octet_length("record")
             filler = F.unhex(F.lit(struct.pack("<H", pad).hex() * seq_len))
             full = F.concat("record", F.substring(filler, F.lit(1), F.lit(HEAD_SIZE + 2 * seq_len) - used))
@@ -198,6 +198,7 @@ def write_shards(df: DataFrame, path: str, seq_len: int = 256, key: int = 20_240
                 wave = spark.read.schema("slot long, record binary").parquet(f"{home}/wave={i}")
                 dealt = wave.repartitionById(end - first, F.expr(f"cast(slot div {per_shard} as int) - {first}")).sortWithinPartitions("slot")
                 dealt.select(full.cast("string").alias("value")).write.option("compression", "none").text(f"{path}/from-{first:08d}")
+                remove(spark, f"{home}/wave={i}")
     finally:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return out
