@@ -127,3 +127,56 @@ def test_query(spark, sf, documents, odd, tmp_path):
     check(rows, [(r["doc_id"], r["text"]) for r in odd.collect()])
     fives = [tuple(r) for r in rows if r["doc_id"] == 5]
     assert len(fives) == 2 and fives[0] == fives[1]
+
+
+def with_tags(data, page=0, **changes):
+    """A classic little-endian file with values of tags of a page overwritten, as 32-bit numbers."""
+    data = bytearray(data)
+    at = struct.unpack_from("<I", data, 4)[0]
+    for _ in range(page):
+        at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        tag = struct.unpack_from("<H", data, at + 2 + 12 * i)[0]
+        for name, (kind, n, value) in changes.items():
+            if tag == getattr(tiff, name):
+                struct.pack_into("<HII", data, at + 4 + 12 * i, kind, n, value)
+    return bytes(data)
+
+
+TAGS = ["WIDTH", "HEIGHT", "BITS", "COMPRESSION", "SAMPLES", "PREDICTOR", "STRIP_OFFSETS", "ROWS_PER_STRIP", "STRIP_BYTES", "TILE_WIDTH", "TILE_HEIGHT", "TILE_OFFSETS", "TILE_BYTES"]
+NUMBERS = st.one_of(st.integers(0, 70), st.sampled_from([2**31 - 1, 2**31, 2**32 - 1, 65535, 65536, 100_000, 1 << 20, 32773]))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.sampled_from([tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS]), st.sampled_from([None, (16, 16)]), st.dictionaries(st.sampled_from(TAGS), st.tuples(st.sampled_from([*tiff.TYPES, 0, 5, 99]), st.sampled_from([1, 1, 1, 0, 2, 9, 2**32 - 1]), NUMBERS), min_size=1, max_size=4))
+def test_any_tag_value_only_raises_its_own_error(compression, tile, changes):
+    data = tiff.write_tiff([np.arange(1024, dtype=np.uint8).reshape(32, 32)], compression, 1, rows_per_strip=8, tile=tile)
+    try:
+        for p in tiff.Reader(with_tags(data, **changes)).pages():
+            assert len(p.pixels) <= 5000 * len(data)
+    except tiff.TiffError:
+        pass
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_pages_of_untrue_size_are_error_rows(spark, compression):
+    pages = [image(4, 4), image(5, 5)]
+    data = tiff.write_tiff(pages, compression)
+    sizes = [(2**32 - 1, 2**32 - 1), (2**31, 2**20), (100_000, 100_000), (2**31 - 1, 1)]
+    files = [(i, bytearray(with_tags(data, WIDTH=(4, 1, w), HEIGHT=(4, 1, h), ROWS_PER_STRIP=(4, 1, h)))) for i, (w, h) in enumerate(sizes)]
+    got = tiff.tiff_pages(spark.createDataFrame(files, "doc_id long, file binary"), "file", ("doc_id",)).collect()
+    assert len(got) == 8 and all((r["error"] is not None) == (r["page"] == 0) for r in got)
+    assert all(bytes(r["pixels"]) == pages[1].tobytes() for r in got if r["page"] == 1)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("order", [1, 2])
+def test_samples_under_a_byte(bits, order):
+    cells = RNG.integers(0, 1 << bits, (5, 11), dtype=np.uint8)
+    ones = np.stack([cells >> (bits - 1 - i) & 1 for i in range(bits)], axis=2).reshape(5, -1)
+    raw = np.packbits(ones, axis=1, bitorder="little" if order == 2 else "big").tobytes()
+    body = zlib.compress(raw)
+    entries = [(256, 11), (257, 5), (258, bits), (259, 8), (266, order), (273, 8), (278, 5), (279, len(body))]
+    ifd = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in entries) + struct.pack("<I", 0)
+    (page,) = tiff.Reader(b"II" + struct.pack("<HI", 42, 8 + len(body)) + body + ifd).pages()
+    assert (page.width, page.height, page.samples, page.bits) == (11, 5, 1, bits) and page.pixels == cells.tobytes()

@@ -2,12 +2,16 @@
 
 The reader walks the chain of image directories of classic and big TIFF files in
 either byte order, decodes strips and tiles that are stored plain or with
-PackBits, LZW or deflate, undoes horizontal differencing, and joins planes. The
-writer makes such files from 8-bit pages; the query stores texts with it.
+PackBits, LZW or deflate, undoes horizontal differencing, and joins planes. Samples
+have 1, 2, 4, 8 or 16 bits; those under a byte come out one a byte, as they are
+stored (a bilevel page has zeros and ones, whichever is white). The writer makes
+files of 8-bit pages; the query stores texts with it.
 
 Defined results: a null or empty file gives no page; a file or page that cannot
 be read gives one row with ``error`` and null pixels, and the other pages
-stay, as far as the chain of directories can be followed; a chain of directories that turns back on itself ends there. Null ids and
+stay, as far as the chain of directories can be followed; no size that a file
+states is believed beyond what its strips or tiles can unpack to, and a page of
+more than ``MAX_PIXELS`` bytes is such an error; a chain of directories that turns back on itself ends there. Null ids and
 repeated rows are kept; other columns are ignored unless named in ``keep``.
 """
 
@@ -23,15 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, table
+from tidemark.llm.common import id_text, spread, table
 from tidemark.runtime import ship
 
 #: Tags, compressions and value sizes of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
-STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
+FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 266, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: ("B", 1), 2: ("B", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
+#: Bytes that one stored byte can unpack to at most.
+MOST = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 4096}
+#: Bytes of a page that a row can hold.
+MAX_PIXELS = (1 << 31) - (1 << 20)
 #: Bytes of rows that one outgoing batch holds, about.
 BATCH = 16 << 20
 
@@ -51,9 +59,9 @@ class Page:
     pixels: bytes
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, want: int = 1 << 62) -> bytes:
     out, at, end = bytearray(), 0, len(data)
-    while at < end:
+    while at < end and len(out) < want:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -84,13 +92,15 @@ def pack_bits(row: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, highest bit first; 256 clears the table, 257 ends."""
+def unpack_lzw(data: bytes, want: int = 1 << 62) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first; 256 clears the table, 257 ends, and so do ``want`` bytes."""
     singles = [bytes([i]) for i in range(256)] + [b"", b""]
     words, out, last = list(singles), [], b""
     bits = have = 0
-    width = 9
+    width, size = 9, 0
     for byte in data:
+        if size >= want:
+            break
         bits, have = bits << 8 | byte, have + 8
         if have < width:
             continue
@@ -109,7 +119,8 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code outside the table")
         out.append(word)
-        if last:
+        size += len(word)
+        if last and len(words) < 4096:
             words.append(last + word[:1])
         last = word
         if len(words) + 1 >= 1 << width and width < 12:
@@ -156,8 +167,7 @@ def pack_lzw(data: bytes) -> bytes:
 
 
 def inflate(data: bytes, size: int) -> bytes:
-    d = zlib.decompressobj()
-    return d.decompress(data, size)
+    return zlib.decompressobj().decompress(data, size)
 
 
 class Reader:
@@ -175,7 +185,7 @@ class Reader:
     def number(self, kind: str, at: int, n: int = 0):
         try:
             found = struct.unpack_from(f"{self.order}{n or ''}{kind}", self.data, at)
-        except struct.error as e:
+        except (struct.error, OverflowError) as e:
             raise TiffError("the file ends early") from e
         return found if n else found[0]
 
@@ -193,6 +203,8 @@ class Reader:
                 continue
             code, size = TYPES[kind]
             value = where + (12 if self.big else 8)
+            if n > len(self.data):
+                raise TiffError("the file ends early")
             if n * size > slot:
                 value = self.number("Q" if self.big else "I", value)
             if value + n * size > len(self.data):
@@ -215,33 +227,47 @@ class Reader:
         one = lambda tag, default: tags.get(tag, (default,))[0]
         width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
         bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-        if bits not in (8, 16) or len(set(tags.get(BITS, (bits,)))) > 1:
+        if bits not in (1, 2, 4, 8, 16) or len(set(tags.get(BITS, (bits,)))) > 1:
             raise TiffError(f"{bits} bits a sample")
-        if predictor not in (1, 2):
+        if predictor not in (1, 2) or (predictor == 2 and bits < 8):
             raise TiffError(f"predictor {predictor}")
-        if compression not in (NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS):
+        if compression not in MOST:
             raise TiffError(f"compression {compression}")
         tiled = TILE_OFFSETS in tags
         w, h = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-        if not (width and height and samples and w and h):
+        if min(width, height, samples, w, h) < 1:
             raise TiffError("no size")
         offsets, sizes = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_BYTES if tiled else STRIP_BYTES, ())
         across, down, planes = -(-width // w), -(-height // h), samples if planar == 2 else 1
-        if len(offsets) < across * down * planes or len(sizes) < len(offsets):
+        blocks = across * down * planes
+        if min(len(offsets), len(sizes)) < blocks:
             raise TiffError("strips or tiles are missing")
+        if min(*offsets[:blocks], *sizes[:blocks]) < 0:
+            raise TiffError("a strip or tile lies before the file")
         per = 1 if planar == 2 else samples
-        kind = np.dtype(f"{self.order}u{bits // 8}")
-        if compression == NONE and width * height * samples * kind.itemsize > len(self.data):
-            raise TiffError("the file ends early")
-        image = np.empty((height, width, samples), dtype=f"<u{bits // 8}")
-        for i in range(across * down * planes):
+        wide = max(1, bits // 8)
+        if width * height * samples * wide > MAX_PIXELS:
+            raise TiffError(f"a page of {width} by {height} by {samples}")
+        row = -(-w * per * bits // 8)  # bytes of a row of a strip or tile
+        wanted = [(h if tiled else min(h, height - i % (across * down) // across * h)) * row for i in range(blocks)]
+        for want, size in zip(wanted, sizes):
+            if want > (size + 16) * MOST[compression]:
+                raise TiffError("a strip or tile is too short")
+        try:
+            image = np.empty((height, width, samples), dtype=f"<u{wide}")
+        except MemoryError as e:
+            raise TiffError(f"a page of {width} by {height} by {samples}") from e
+        for i, want in enumerate(wanted):
             plane, rest = divmod(i, across * down)
             y, x = rest // across * h, rest % across * w
-            rows = h if tiled else min(h, height - y)
-            block = self.block(offsets[i], sizes[i], compression, rows * w * per * kind.itemsize)
-            cells = np.frombuffer(block, kind).reshape(rows, w, per)
+            rows = want // row
+            block = self.block(offsets[i], sizes[i], compression, want)
+            if bits < 8:
+                cells = unpacked(block, rows, w * per, bits, one(FILL_ORDER, 1) == 2).reshape(rows, w, per)
+            else:
+                cells = np.frombuffer(block, f"{self.order}u{wide}").reshape(rows, w, per)
             if predictor == 2:
-                cells = np.cumsum(cells, axis=1, dtype=f"u{bits // 8}")
+                cells = np.cumsum(cells, axis=1, dtype=f"u{wide}")
             ny, nx = min(rows, height - y), min(w, width - x)
             if planar == 2:
                 image[y : y + ny, x : x + nx, plane] = cells[:ny, :nx, 0]
@@ -254,7 +280,7 @@ class Reader:
         if len(raw) < size:
             raise TiffError("the file ends early")
         try:
-            out = raw if compression == NONE else unpack_lzw(raw) if compression == LZW else unpack_bits(raw) if compression == PACKBITS else inflate(raw, want)
+            out = raw if compression == NONE else unpack_lzw(raw, want) if compression == LZW else unpack_bits(raw, want) if compression == PACKBITS else inflate(raw, want)
         except zlib.error as e:
             raise TiffError(str(e)) from e
         if len(out) < want:
@@ -262,6 +288,16 @@ class Reader:
         return out[:want]
 
 
+def unpacked(block: bytes, rows: int, samples: int, bits: int, reverse: bool) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, one a byte; rows start at bytes."""
+    ones = np.unpackbits(np.frombuffer(block, np.uint8).reshape(rows, -1), axis=1, bitorder="little" if reverse else "big")
+    parts = ones[:, : samples * bits].reshape(rows, samples, bits)
+    out = np.zeros((rows, samples), np.uint8)
+    for i in range(bits):
+        out = out << 1 | parts[:, :, i]
+    return out
+
+
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows_per_strip: int = 128, tile: tuple[int, int] | None = None, big_endian: bool = False) -> bytes:
     """A classic TIFF file of 8-bit pages, each of shape (height, width) or (height, width, samples)."""
     o = ">" if big_endian else "<"
@@ -390,7 +426,7 @@ def store_texts(df: DataFrame, width: int = 576, compression: int = DEFLATE, pre
 
 
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = tiff_pages(store_texts(table(spark, sf_dir, "documents")), "media", ("doc_id", "n_bytes", "media"))
+    pages = tiff_pages(store_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "media", ("doc_id", "n_bytes", "media"))
     size = F.octet_length("pixels")
     return pages.select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -32, 32)).alias("tail_crc32"),
