@@ -1,21 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: numbers, names (capitalised words inside a sentence) and
-units after a number turn into typed placeholders; case and punctuation go.
+Texts become templates: numbers, names (capitalised words, wherever they stand)
+and units after a number turn into typed placeholders; punctuation goes. What a
+word turns into depends on the word alone (and for a unit on the number before
+it), so an item and a text that holds it are cut alike whatever is around.
 Windows of ``WINDOW`` template words of the benchmark are hash-joined with those
 of the documents, so a question is found again with other numbers or names in
-it. Windows of the plain words in lower case are joined beside them, so a passage
-that stands as it is counts whatever case, line breaks or the words before it
-make of its template. Then slots are checked: along one alignment of a document
-and an item, each value in the item's slots must stand for one value in the
-document, and the other way round. Alignments that fail with the template
-windows alone and with the verbatim ones added are dropped, unless at least
-``VERBATIM`` of the item's windows are verbatim.
+it, also where a name begins a sentence. Windows of the plain words in lower case
+are joined beside them, so a passage that stands as it is counts whatever case,
+line breaks or the words before it make of its template. Then slots are checked:
+along one alignment of a document and an item, each value in the item's slots must
+stand for one value in the document, and the other way round. Alignments that fail
+with the template windows alone and with the verbatim ones added are dropped,
+unless at least ``VERBATIM`` of the item's windows are verbatim.
 
 Template windows with few literal words (less than ``LITERALS`` of ``WINDOW``)
 say little alone: they count if they are verbatim, or if the item is there from
-end to end and all its slots are consistent. An item without any literal word is
-found by its values only.
+end to end and all its slots are consistent. So of an item that is rich in slots,
+a part with other values is not found, but the whole of it is. An item without any
+literal word is found by its values only.
 
 Everything is DataFrame functions. Windows are made by zipping shifted arrays of
 word hashes. The benchmark's windows are broadcast only if they are at most
@@ -36,8 +39,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, table
-from tidemark.runtime import materialise
+from tidemark.llm.common import bounded, spread, table
+from tidemark.runtime import Scratch, materialise
 
 WINDOW, SHORTEST, LITERALS, MIN_WINDOWS = 8, 5, 5, 2
 #: The share of an item's windows that flags it if they are verbatim, whatever the other slots say.
@@ -54,19 +57,34 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.cast("long"), text.cast("string"))
 
 
+def cleaned(text: Column) -> Column:
+    """A text without punctuation, but for points inside numbers."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s\u0001-\u0003]+(?!(?<=\d[.,:/])\d)", "")
+
+
+def split(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != F.lit(""))
+
+
+def template_words(clean_text: Column) -> Column:
+    # Every pattern starts with what is rare in a text, so most places are passed at once.
+    t = F.regexp_replace(clean_text, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{L}*", NAME)
+    t = F.regexp_replace(t, r"\d[\d.,:/]*", NUMBER)
+    return split(F.regexp_replace(t, r"\u0002\s+(?i:" + UNITS.replace(" ", "|") + r")(?![\p{L}\d\u0001-\u0003])", f"{NUMBER} {UNIT}"))
+
+
+def plain_words(clean_text: Column) -> Column:
+    return split(F.lower(clean_text))
+
+
 def template(text: Column) -> Column:
     """The template words of a text. They stand one to one with ``values``."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll},;:] )\p{Lu}[\p{L}'’-]*", NAME)
-    t = F.regexp_replace(t, r"(?<!\S)[^\s\p{L}\d\u0001]*\d[\d.,:/]*[^\s\p{L}\d\u0001]*(?!\S)", NUMBER)
-    t = F.regexp_replace(t, r"(?i)(?<=\u0002\s)(" + UNITS.replace(" ", "|") + r")(?![\p{L}\d])", UNIT)
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\s\u0001-\u0003]+", "")
-    return F.filter(F.split(t, r"\s+"), lambda w: w != F.lit(""))
+    return template_words(cleaned(text))
 
 
 def plain(text: Column) -> Column:
-    """The words of a text in lower case. They stand one to one with ``template``; points inside numbers stay."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?:(?<!\d)[.,:/]|[.,:/](?!\d)|[^\p{L}\p{N}\s\u0001-\u0003.,:/])+", "")
-    return F.filter(F.split(t, r"\s+"), lambda w: w != F.lit(""))
+    """The words of a text in lower case. They stand one to one with ``template``."""
+    return plain_words(cleaned(text))
 
 
 def hashes(words: Column) -> Column:
@@ -106,7 +124,8 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str) -> tuple[D
         exact = F.struct(F.col("p").alias("h"), F.lit(True).alias("exact"), (light & (F.col("t") == F.col("p"))).alias("light"))
         slotted = F.struct(F.col("t").alias("h"), F.lit(False).alias("exact"), light.alias("light"))
         w = w.withColumn("r", F.explode(F.when(F.col("t") == F.col("p"), F.array(exact)).otherwise(F.array(exact, slotted))))
-        made[size] = w.where(F.col("r.exact") | F.col("r.light") | (literals(F.col("words")) > 0)).select(F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "r.*")
+        # A table, since it is counted and joined.
+        made[size] = materialise(w.where(F.col("r.exact") | F.col("r.light") | (literals(F.col("words")) > 0)).select(F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), "r.*"), "benchmark-windows")
     return words.select(F.col("key").alias("item_key"), "item_id", "words", "raw", "size"), made
 
 
@@ -117,7 +136,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, share double, n_slots int, changed int, row_key long")
     if not by_size:
         return empty
-    hashed = rows.select("key", hashes(template(F.col("text"))).alias("t"), hashes(plain(F.col("text"))).alias("p"))
+    hashed = rows.select("key", cleaned(F.col("text")).alias("c")).select("key", hashes(template_words(F.col("c"))).alias("t"), hashes(plain_words(F.col("c"))).alias("p"))
     both = F.when(F.col("t") == F.col("p"), F.array("t")).otherwise(F.array("t", "p"))
     sets = [F.collect_set(F.when(F.col(c), F.col("item_pos"))).alias(c) for c in ("light", "exact")] + [F.collect_set("item_pos").alias("any")]
     found = []
@@ -132,7 +151,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     whole = F.size("any") == of_item
     hits = hits.where((F.size(F.array_union("light", "exact")) >= needed) | whole)
     # A table, since it is read twice. A text is read again for its values, if its document has hits.
-    hits = materialise(hits, "hits")
+    hits = materialise(hits.select("key", "item_key", "shift", "light", "exact", "any", "item_id", "words", "raw", "size"), "hits")
     texts = rows.join(bounded(hits.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", values(F.col("text")).alias("doc_raw"))
     # Sets of windows that may flag the pair, each with slots of its own.
     readings = F.filter(F.array_distinct(F.array("light", F.array_union("light", "exact"), F.when(whole, F.col("any")).otherwise(F.array().cast("array<int>")))), lambda at: F.size(at) >= needed)
@@ -160,4 +179,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+    with Scratch(spark) as scratch:
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        return scratch.result(contaminated(docs, table(spark, sf_dir, "benchmark")).drop("row_key"), "leaks")
