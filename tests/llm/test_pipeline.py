@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_near_dedup import brute
@@ -54,3 +55,27 @@ def test_odd_rows(spark, odd, none, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.materialise(stage(spark, empty, sf), name)
     assert empty.count() == 0
+
+
+def test_columns_may_be_called_like_those_of_the_operators(spark, documents, sf):
+    names = ["_gone", "gone", "score", "page", "node", "row_key", "lang_pred", "_0", "key"]
+    docs = documents.where("doc_id < 60")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf), "test")
+        assert docs.columns == [*documents.columns, *names]
+    rows = docs.collect()
+    assert len(rows) > 20 and all([r[n] for n in names] == list(range(len(names))) for r in rows)
+
+
+def test_nothing_is_left_between_the_stages(spark, sf):
+    import os
+
+    from tidemark.runtime import Scratch, shared_dir
+
+    home = shared_dir(spark).replace("file://", "")
+    before = set(os.listdir(home))
+    out = corpus_pipeline.run(spark, sf)
+    left = {x for x in set(os.listdir(home)) - before if "-" in x and not x.startswith("rdd")}
+    assert {x.rsplit("-", 1)[0] for x in left if os.listdir(os.path.join(home, x))} == {"packed"} and out.count() > 0 and not Scratch.stack

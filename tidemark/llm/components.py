@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.runtime import Scratch, materialise
+from tidemark.runtime import Scratch
 
 MAX_ROUNDS = 60
 
@@ -48,4 +48,4 @@ def components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
             mark = new
         else:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
-        return materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+        return scratch.result(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")

@@ -13,7 +13,8 @@ size of its sample, at least ``floor`` times as often as the language that
 picked it most. The sample is bounded: about ``per_language`` documents of each
 language, chosen by a hash of the id (a documented parameter; all of a smaller
 language). The table has a fixed size, 8 * SLOTS bytes, however large the
-corpus, and that is all that is sent to the executors.
+corpus, and that is all that is sent to the executors. Counts are added up and
+settled on executors, ``SPAN`` words at a time; the driver gets the masks.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 a text whose n-grams are all unknown gets the first language with score 0; ties
@@ -33,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, residue, table
-from tidemark.runtime import ship
+from tidemark.llm.common import id_text, residue, spread, table
+from tidemark.runtime import Scratch, ship
 
 SLOTS, HASHES, GRAMS = 1 << 21, 3, (3, 4)
-PER_LANGUAGE, TASKS = 3000, 8
+PER_LANGUAGE, TASKS = 3000, 16
+#: Slots that are settled together.
+SPAN = 1 << 15
 #: Characters that are worked on at once.
 BLOCK = 1 << 20
 
@@ -115,30 +118,54 @@ def train(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", t
     place = {x: i for i, x in enumerate(languages)}
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))))
     draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text").repartition(TASKS)
+    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text").repartition(TASKS).sortWithinPartitions("lang")
+    with Scratch(spark) as scratch:
+        counts = scratch.table(counted(sample), "language-counts")
+        sums = {r["lang"]: float(r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        enough = [min(min_count, max(1, sizes[x] // 50)) for x in languages]
+
+        def settle(group: pa.Table) -> pa.Table:
+            totals = np.zeros((len(languages), SPAN))
+            for lang, found in zip(group.column("lang").to_pylist(), group.column("counts").to_pylist()):
+                totals[place[lang]] += np.frombuffer(zlib.decompress(found), np.uint32)
+            rates = totals / np.array([[max(sums.get(x, 0.0), 1.0)] for x in languages])
+            most = rates.max(axis=0)
+            masks = np.zeros(SPAN, np.uint64)
+            for i in range(len(languages)):
+                masks |= ((totals[i] >= enough[i]) & (rates[i] >= floor * most)).astype(np.uint64) << np.uint64(i)
+            return pa.table({"part": group.column("part")[:1], "masks": pa.array([zlib.compress(masks.tobytes(), 1)], pa.binary())})
+
+        masks = np.zeros(SLOTS, np.uint64)
+        # SLOTS words of 64 bits, however large the sample.
+        for r in counts.groupBy("part").applyInArrow(settle, "part int, masks binary").collect():
+            masks[r["part"] * SPAN : (r["part"] + 1) * SPAN] = np.frombuffer(zlib.decompress(r["masks"]), np.uint64)
+    return Model(languages, masks)
+
+
+def counted(sample: DataFrame) -> DataFrame:
+    """part (of SPAN slots), lang, counts of its slots and their sum, for each task's texts (lang, text), which come language by language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        lang, mine = None, np.zeros(SLOTS, np.uint32)
+
+        def flush() -> pa.RecordBatch:
+            parts = mine.reshape(-1, SPAN)
+            some = np.flatnonzero(parts.any(axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([lang] * len(some), pa.string()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary()), pa.array([int(parts[i].sum()) for i in some], pa.int64())], ["part", "lang", "counts", "n"])
+
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if own != lang:
+                    if lang is not None:
+                        yield flush()
+                    lang, mine[:] = own, 0
                 for block in blocks(text.as_py()):
-                    mine = counts.setdefault(lang, np.zeros(SLOTS, np.uint32))
                     found, n = np.unique(picks(block), return_counts=True)
                     mine[found] += n.astype(np.uint32)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([zlib.compress(c.tobytes(), 1) for c in counts.values()], pa.binary())], ["lang", "counts"])
-
-    totals = np.zeros((len(languages), SLOTS), np.float32)
-    # TASKS tables of a fixed size for each language, one at a time.
-    for r in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        totals[place[r["lang"]]] += np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    rates = totals / np.maximum(totals.sum(axis=1, keepdims=True), 1)
-    most = rates.max(axis=0)
-    masks = np.zeros(SLOTS, np.uint64)
-    for i in range(len(languages)):
-        enough = totals[i] >= min(min_count, max(1, sizes[languages[i]] // 50))
-        masks |= (enough & (rates[i] >= floor * most)).astype(np.uint64) << np.uint64(i)
-    return Model(languages, masks)
+        if lang is not None:
+            yield flush()
+
+    return sample.mapInArrow(count, "part int, lang string, counts binary, n long")
 
 
 def predict(df: DataFrame, model: Model, keep: tuple[Column | str, ...] = (), text_col: str = "text") -> DataFrame:
@@ -164,7 +191,7 @@ def predict(df: DataFrame, model: Model, keep: tuple[Column | str, ...] = (), te
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = residue(F.col("doc_id"), 5) == 0
     model = train(docs.where(~held_out))
-    return predict(id_text(docs).withColumn("held_out", residue(F.col("doc_id"), 5) == 0), model, ("doc_id", "held_out"))
+    return predict(id_text(spread(docs)).withColumn("held_out", residue(F.col("doc_id"), 5) == 0), model, ("doc_id", "held_out"))

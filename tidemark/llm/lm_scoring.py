@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import residue, table
+from tidemark.llm.common import residue, spread, table
 from tidemark.llm.near_dedup import constants, mix, powers
-from tidemark.runtime import Scratch, materialise, ship
+from tidemark.runtime import Scratch, ship
 
 BLOCK_TOKENS, BUCKET_BITS, KEYS_PER_BUCKET = 1_000_000, 10, 1 << 20
 PRIOR = 30.0
@@ -190,7 +190,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         texts = made.select(F.explode("held").alias("h")).where("not h").count()
         # A block gets its answers, one for each bucket that it asked.
         per_block = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "totals"))).alias("totals"))
-        return materialise(traversed(made.join(per_block, "block"), n, v, prior, texts), "scores")
+        return scratch.result(traversed(made.join(per_block, "block"), n, v, prior, texts), "scores")
 
 
 def traversed(joined: DataFrame, n: int, v: int, prior: float, texts: int) -> DataFrame:
@@ -217,4 +217,4 @@ def traversed(joined: DataFrame, n: int, v: int, prior: float, texts: int) -> Da
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), residue(F.col("doc_id"), 10) == 0)
+    return score(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), residue(F.col("doc_id"), 10) == 0)

@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, id_text, table
+from tidemark.llm.common import bounded, id_text, spread, table
 from tidemark.llm.components import components
-from tidemark.runtime import Scratch, materialise, ship
+from tidemark.runtime import Scratch, ship
 
 SHINGLE, POST, MORE = 5, 48, 400
 SKETCH = 1 << 19
@@ -318,8 +318,8 @@ def near_groups(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_c
         out = made.select("doc_id", "n_shingles", "node").join(named, "node", "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-        return materialise(out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), "near-groups")
+        return scratch.result(out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), "near-groups")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), percent=85)
+    return near_groups(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), percent=85)

@@ -9,8 +9,13 @@ patterns with repeat counts. Patterns go back to the pieces by rank: the r-th
 piece of a length takes the r-th place for that length.
 
 Ranks come from salted windows. Pieces of one length (full ones may be most of
-all) are spread over ``SALTS`` groups, ranked inside them, and shifted by the
-groups' counts (at most ``max_len * SALTS`` rows).
+all) are spread over groups of about ``GROUP`` pieces, as many as the histogram
+asks for, ranked inside them, and shifted by the groups' counts (a row for each
+``GROUP`` pieces and length).
+
+The ids are those that ``tokenizers`` gives for ``byte_bpe_50k.json``; they are
+made by a faster library from the same vocabulary (see ``token_ids``), and tests
+hold both against each other.
 
 Defined results: a null or empty text is one piece with the single id 0; null
 ids and repeated rows are packed like others; an empty table gives no rows;
@@ -28,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, table
+from tidemark.llm.common import MAX_BROADCAST, id_text, spread, table
 from tidemark.llm.token_ids import default_files, encoder
 from tidemark.runtime import materialise, ship
 
-SALTS = 64
+GROUP = 1 << 14
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -92,15 +97,16 @@ def places(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def ranked(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
+def ranked(pieces: DataFrame, histogram: dict[int, int], group: int = GROUP) -> DataFrame:
     """Adds ``rank``: 0, 1, ... among the pieces of one length."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    salts = F.array(*(F.lit(-(-histogram.get(n, 1) // group)) for n in range(max(histogram, default=0) + 1)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(salts, F.col("length").cast("int"))))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     shifts = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inside = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32"))
-    # At most one row for each length and salt, so the broadcast has a fixed bound.
-    joined = salted.withColumn("_in", inside).join(F.broadcast(shifts), ["length", "_salt"])
+    few = sum(-(-n // group) for n in histogram.values()) <= MAX_BROADCAST
+    joined = salted.withColumn("_in", inside).join(F.broadcast(shifts) if few else shifts, ["length", "_salt"])
     return joined.withColumn("rank", F.col("_shift") + F.col("_in") - 1).drop("_salt", "_in", "_shift")
 
 
@@ -111,11 +117,11 @@ def pack(df: DataFrame, max_len: int = 1024, id_col: str = "doc_id", text_col: s
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = places(shortest_pack_first(histogram, max_len))
     slots_df = spark.createDataFrame(slots, "length long, _first long, _end long, _sequence long, offset long")
-    r, s = ranked(pieces), F.broadcast(slots_df)  # the slots are those of a histogram of max_len lengths
+    r, s = ranked(pieces, histogram), F.broadcast(slots_df)  # the slots are those of a histogram of max_len lengths
     found = r.join(s, (r["length"] == s["length"]) & (r["rank"] >= s["_first"]) & (r["rank"] < s["_end"]))
     sequence = (s["_sequence"] + r["rank"] - s["_first"]).alias("sequence_id")
     return found.select(*(r[c] for c in pieces.columns), sequence, s["offset"])
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

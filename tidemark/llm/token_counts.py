@@ -13,7 +13,8 @@ place where a token can still be open, the trie node that has been reached
 since, the last token before that place, and the count there relative to now.
 A token closes the history at a place if it and the token before it do not
 merge differently together. Two texts with equal histories have equal futures,
-so states are shared and their number does not follow the corpus.
+so states are shared. New words still bring new states; a worker keeps at most
+``MAX_STATES`` of them and ``MAX_MAPS`` chunk maps, and starts anew beyond that.
 
 A text is cut into chunks, and a chunk's state map takes any state to a state and
 a count. Between a character that is not white space and a space a piece ends
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, table
+from tidemark.llm.common import id_text, spread, table
 from tidemark.runtime import ship
 
 #: Characters of a chunk without a certain boundary; states and chunk maps that a worker keeps before it starts anew.
@@ -301,5 +302,5 @@ def count_tokens(df: DataFrame, vocabulary: str | None = None, id_col: str = "do
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
-    out = count_tokens(table(spark, sf_dir, "documents"))
+    out = count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
