@@ -42,3 +42,15 @@ def test_false_positive_rate_is_near_the_formula(spark):
     entries = spark.range(2000).select(F.lit(1).cast("long").alias("segment"), F.format_string("key-%08d", F.col("id")).alias("key"))
     probes = spark.range(10_000, 14_000).select(F.lit(1).cast("long").alias("segment"), F.format_string("key-%08d", F.col("id")).alias("key"))
     assert bloom.probe(bloom.build(entries), probes).where("maybe").count() < 4000 * 0.03
+
+
+def test_words_are_those_of_the_positions(spark):
+    entries = spark.range(3000).select((F.col("id") % 3).alias("segment"), F.format_string("key-%d", F.col("id")).alias("key"))
+    words = bloom.build_words(entries)
+    got = {(r["segment"], p) for r in words.select("segment", bloom.set_places(F.col("word"), F.col("mask")).alias("at")).collect() for p in r["at"]}
+    want = {(i % 3, p) for i in range(3000) for p in python_positions(f"key-{i}".encode(), 10_000, 6)}
+    assert got == want
+    probes = spark.range(2000, 5000).select((F.col("id") % 3).alias("segment"), F.format_string("key-%d", F.col("id")).alias("key"))
+    answers = {r["key"]: r["maybe"] for r in bloom.probe_words(words, probes).collect()}
+    for i in range(2000, 5000):
+        assert answers[f"key-{i}"] == all((i % 3, p) in want for p in python_positions(f"key-{i}".encode(), 10_000, 6))

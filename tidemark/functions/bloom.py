@@ -1,7 +1,8 @@
 """Bloom filters over keys: FNV-1a with 64 bits, double hashing, sizing.
 
 The hash runs on two 32-bit halves in 64-bit columns, so nothing overflows and
-no decimals are needed. The modulus is part of the filter; a reloaded filter
+no decimals are needed. It is computed once a key, in a projection of its own; a
+filter is a table of 64-bit words, so no row holds a whole filter. The modulus is part of the filter; a reloaded filter
 probes the same bits that were set.
 """
 
@@ -17,8 +18,8 @@ START_HIGH, START_LOW, PRIME_LOW = 0xCBF29CE4, 0x84222325, 435
 MASK = 0xFFFFFFFF
 
 
-def fnv1a(key: Column) -> tuple[Column, Column]:
-    """(high, low) 32 bits of the hash of a key's UTF-8 bytes."""
+def fnv(key: Column) -> Column:
+    """The hash of a key's UTF-8 bytes, as a struct of its high (h) and low (l) 32 bits."""
     digits = F.hex(F.encode(key, "UTF-8"))
     n = F.octet_length(key)
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -31,7 +32,12 @@ def fnv1a(key: Column) -> tuple[Column, Column]:
         high = acc["h"] * PRIME_LOW + F.shiftrightunsigned(product, 32) + F.shiftleft(low, 8)
         return F.struct(high.bitwiseAND(F.lit(MASK)).alias("h"), product.bitwiseAND(F.lit(MASK)).alias("l"))
 
-    end = F.aggregate(octets, begin, step)
+    return F.aggregate(octets, begin, step)
+
+
+def fnv1a(key: Column) -> tuple[Column, Column]:
+    """(high, low) 32 bits of the hash of a key's UTF-8 bytes."""
+    end = fnv(key)
     return end["h"], end["l"]
 
 
@@ -51,23 +57,58 @@ def false_positive_rate(n: Column, bits: Column, hashes: Column) -> Column:
     return F.pow(1 - F.exp(-hashes * n / bits), hashes)
 
 
+def places(hashed: Column, bits: Column, hashes: Column) -> Column:
+    """The bits of a key by its hash (``fnv``); the sum of hashes wraps at 32 bits before the modulus is taken."""
+    odd = hashed["h"] + F.when(hashed["h"] % 2 == 0, 1).otherwise(0)
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: ((hashed["l"] + i * odd) % (MASK + 1)) % bits)
+
+
 def positions(key: Column, bits: Column, hashes: Column) -> Column:
-    """The bits of a key; the sum of hashes wraps at 32 bits before the modulus is taken."""
-    high, low = fnv1a(key)
-    odd = high + F.when(high % 2 == 0, 1).otherwise(0)
-    both = F.struct(low.alias("a"), odd.alias("b"))
-    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: ((both["a"] + i * both["b"]) % (MASK + 1)) % bits)
+    """The bits of a key. For whole tables hash first, in a column of its own, and use ``places``."""
+    return places(fnv(key), bits, hashes)
 
 
-def build(entries: DataFrame, per_key: int = BITS_PER_KEY) -> DataFrame:
-    """segment, n_keys, num_bits, num_hash, bits (sorted distinct positions) of the keys of each segment."""
+def hashed_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_h``, the hash of ``key``. It is used more than once, so the optimizer leaves it where it is."""
+    return rows.withColumn("_h", fnv(F.col("key")))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """``rows`` (with num_bits and num_hash) once for each bit of the key, as word and mask."""
+    bit = hashed_keys(rows).withColumn("_bit", F.explode(places(F.col("_h"), F.col("num_bits"), F.col("num_hash")))).drop("_h")
+    return bit.withColumn("word", F.shiftright("_bit", 6)).withColumn("mask", F.expr("shiftleft(1L, cast(_bit % 64 as int))")).drop("_bit")
+
+
+def build_words(entries: DataFrame, per_key: int = BITS_PER_KEY) -> DataFrame:
+    """segment, n_keys, num_bits, num_hash, word, mask: the words of each segment's filter that are not zero."""
     keys = entries.select("segment", "key").distinct()
     sizes = keys.groupBy("segment").agg(F.count("*").alias("n_keys")).withColumn("num_bits", num_bits(F.col("n_keys"), per_key)).withColumn("num_hash", num_hashes(per_key))
-    hit = keys.join(sizes, "segment").select("segment", "n_keys", "num_bits", "num_hash", F.explode(positions(F.col("key"), F.col("num_bits"), F.col("num_hash"))).alias("bit"))
-    return hit.groupBy("segment", "n_keys", "num_bits", "num_hash").agg(F.sort_array(F.collect_set("bit")).alias("bits"))
+    hit = exploded(keys.join(sizes, "segment"))
+    return hit.groupBy("segment", "n_keys", "num_bits", "num_hash", "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def set_places(word: Column, mask: Column) -> Column:
+    """The positions of a word's bits."""
+    inside = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(mask, i) == 1)
+    return F.transform(inside, lambda i: word * 64 + i)
+
+
+def build(entries: DataFrame, per_key: int = BITS_PER_KEY) -> DataFrame:
+    """segment, n_keys, num_bits, num_hash, bits (sorted distinct positions): small filters as one row each."""
+    by = ("segment", "n_keys", "num_bits", "num_hash")
+    rows = build_words(entries, per_key).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("w"))
+    return rows.select(*by, F.flatten(F.transform("w", lambda x: set_places(x["word"], x["mask"]))).alias("bits"))
+
+
+def probe_words(filters: DataFrame, probes: DataFrame) -> DataFrame:
+    """segment, key, maybe: may the segment hold the key? ``filters`` as from ``build_words``; ``probes`` has segment and key. Joins on segment and word."""
+    sizes = filters.select("segment", "num_bits", "num_hash").distinct()
+    wanted = exploded(probes.distinct().join(sizes, "segment")).select("segment", "key", "word", F.col("mask").alias("_want"))
+    met = wanted.join(filters.select("segment", "word", "mask"), ["segment", "word"], "left")
+    return met.groupBy("segment", "key").agg(F.min(F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(F.col("_want")) != 0).alias("maybe"))
 
 
 def probe(filters: DataFrame, probes: DataFrame) -> DataFrame:
-    """segment, key, maybe: may the segment hold the key? ``probes`` has segment and key."""
-    at = positions(F.col("key"), F.col("num_bits"), F.col("num_hash"))
-    return probes.join(filters, "segment").select("segment", "key", F.forall(at, lambda p: F.array_contains("bits", p)).alias("maybe"))
+    """segment, key, maybe of small filters, as from ``build``."""
+    at = hashed_keys(probes.join(filters, "segment")).withColumn("_at", places(F.col("_h"), F.col("num_bits"), F.col("num_hash")))
+    return at.select("segment", "key", F.forall("_at", lambda p: F.array_contains("bits", p)).alias("maybe"))

@@ -10,6 +10,10 @@ from tidemark.operators.lww import resolve
 from tidemark.schema import DELETE, INDEX_EVERY, PUT
 
 
+#: Blocks whose sums are summed together.
+GROUP = 4096
+
+
 def segments(log: DataFrame) -> DataFrame:
     """What a flush writes for each segment: its newest mutation of each key."""
     return resolve(log, "segment")
@@ -49,11 +53,16 @@ def flush_boundaries(log: DataFrame, threshold: int, block: int = 1000) -> DataF
     """flush, first_seq, last_seq, n_records, bytes: cuts of the running byte sum in seq order.
 
     Sums run inside blocks of seq and are shifted by the sums of earlier blocks,
-    so no task sees the whole log.
+    which are summed in the same way by groups of blocks, so no task sees the whole
+    log or all of its blocks.
     """
     sized = log.withColumn("_b", entry_bytes()).withColumn("_block", F.expr(f"seq div {block}"))
     totals = sized.groupBy("_block").agg(F.sum("_b").alias("_t"))
-    shift = totals.select("_block", (F.sum("_t").over(W.orderBy("_block")) - F.col("_t")).alias("_s"))
+    grouped = totals.withColumn("_group", F.expr(f"_block div {GROUP}"))
+    groups = grouped.groupBy("_group").agg(F.sum("_t").alias("_gt"))
+    before = groups.select("_group", (F.sum("_gt").over(W.orderBy("_group")) - F.col("_gt")).alias("_gs"))
+    inside = F.sum("_t").over(W.partitionBy("_group").orderBy("_block")) - F.col("_t")
+    shift = grouped.withColumn("_i", inside).join(before, "_group").select("_block", (F.col("_i") + F.col("_gs")).alias("_s"))
     run = F.sum("_b").over(W.partitionBy("_block").orderBy("seq"))
     placed = sized.withColumn("_run", run).join(shift, "_block").withColumn("flush", F.floor((F.col("_run") + F.col("_s") - F.col("_b")) / threshold))
     return placed.groupBy("flush").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_records"), F.sum("_b").alias("bytes"))
@@ -68,8 +77,12 @@ def sparse_index(entries: DataFrame, every: int = INDEX_EVERY) -> DataFrame:
 
 def index_seek(index: DataFrame, probes: DataFrame) -> DataFrame:
     """probe, segment, and the last indexed key that is not after the probe (null: before the segment)."""
-    hit = F.when(index["key"] <= probes["probe"], index["key"])
-    return probes.join(index, "segment").groupBy("segment", "probe").agg(F.max(hit).alias("first_key"))
+    asked = probes.select("segment", F.col("probe").alias("key"), F.lit(True).alias("_asks")).distinct()
+    both = asked.unionByName(index.select("segment", "key", F.lit(False).alias("_asks")).distinct())
+    # One pass over both in order of the key; an index entry comes before a probe of the same key.
+    before = W.partitionBy("segment").orderBy("key", "_asks").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("first_key", F.last(F.when(~F.col("_asks"), F.col("key")), ignorenulls=True).over(before))
+    return found.where("_asks").select("segment", F.col("key").alias("probe"), "first_key")
 
 
 def space(log: DataFrame) -> DataFrame:

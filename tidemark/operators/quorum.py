@@ -54,12 +54,19 @@ def append_result(rows: DataFrame) -> DataFrame:
     """success, commit_idx and next_idx of append requests joined with the receiver's log at prev_idx.
 
     Columns: term, current_term, prev_idx, prev_term, my_prev_term (null: no entry),
-    n_entries, leader_commit, commit, next_idx, match_idx.
+    n_entries, leader_commit, commit, next_idx, match_idx; and, where there,
+    my_last_idx, the last index of the receiver's log before, and conflict, whether
+    an entry of it parts from those sent. What is committed is bounded by the last
+    index after the append: the log's own if it goes further than what was sent.
     """
     ok = (F.col("term") >= F.col("current_term")) & ((F.col("prev_idx") == 0) | F.coalesce(F.col("my_prev_term") == F.col("prev_term"), F.lit(False)))
     last = F.col("prev_idx") + F.col("n_entries")
+    after = last
+    if "my_last_idx" in rows.columns:
+        kept = F.greatest(F.col("my_last_idx"), last)
+        after = F.when(F.col("conflict"), last).otherwise(kept) if "conflict" in rows.columns else kept
     back = F.when(F.col("match_idx") + 1 < F.col("next_idx"), F.col("match_idx") + 1).otherwise(F.greatest(F.col("next_idx") - 1, F.lit(1)))
-    return rows.withColumn("success", ok).withColumn("new_commit", F.when(ok, F.greatest("commit", F.least("leader_commit", last))).otherwise(F.col("commit"))).withColumn("new_next", F.when(ok, last + 1).otherwise(back))
+    return rows.withColumn("success", ok).withColumn("new_commit", F.when(ok, F.greatest(F.col("commit"), F.least(F.col("leader_commit"), after))).otherwise(F.col("commit"))).withColumn("new_next", F.when(ok, last + 1).otherwise(back))
 
 
 def peers(nodes: DataFrame) -> DataFrame:
@@ -93,9 +100,10 @@ def start_election(nodes: DataFrame) -> DataFrame:
 
 
 def to_send(log: DataFrame, progress: DataFrame) -> DataFrame:
-    """leader, peer, prev_idx, n_entries of the next message to each peer: the suffix of the leader's log from next_idx."""
-    suffix = progress.join(log, "leader", "left").where(F.col("idx").isNull() | (F.col("idx") >= F.col("next_idx")) | (F.col("idx") == F.col("next_idx") - 1))
-    return suffix.groupBy("leader", "peer", "next_idx").agg(F.sum((F.col("idx") >= F.col("next_idx")).cast("long")).alias("n")).select("leader", "peer", (F.col("next_idx") - 1).alias("prev_idx"), F.coalesce("n", F.lit(0)).alias("n_entries"))
+    """leader, peer, prev_idx, n_entries of the next message to each peer: the suffix of the leader's log from next_idx. A log has no gaps."""
+    ends = log.groupBy("leader").agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))
+    rest = F.greatest(F.col("_last") - F.greatest("next_idx", "_first") + 1, F.lit(0).cast("long"))
+    return progress.join(ends, "leader", "left").select("leader", "peer", (F.col("next_idx") - 1).alias("prev_idx"), F.coalesce(rest, F.lit(0).cast("long")).alias("n_entries"))
 
 
 def append_entries(log: DataFrame, entries: DataFrame) -> DataFrame:
@@ -107,6 +115,38 @@ def append_entries(log: DataFrame, entries: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
+def append_checked(log: DataFrame, requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """log, idx, term after append requests (log, prev_idx, prev_term), one for each log, with their entries.
+
+    A log that has another term at prev_idx is cut there, and one that ends before
+    prev_idx stays as it is; both take no entries. The others get what is new.
+    """
+    r = requests.select("log", "prev_idx", "prev_term")
+    mine = log.select("log", F.col("idx").alias("prev_idx"), F.col("term").alias("_mine"))
+    at = r.join(mine, ["log", "prev_idx"], "left").select("log", "prev_idx", "prev_term", "_mine")
+    fine = (F.col("prev_idx") == 0) | F.coalesce(F.col("_mine") == F.col("prev_term"), F.lit(False))
+    judged = at.select("log", fine.alias("_ok"), F.when(~fine & F.col("_mine").isNotNull(), F.col("prev_idx")).alias("_cut"))
+    kept = log.join(judged, "log", "left").where("_cut is null or idx < _cut").select("log", "idx", "term")
+    return append_entries(kept, entries.join(judged.where("_ok"), "log", "left_semi"))
+
+
+def status(nodes: DataFrame, logs: DataFrame, layers: DataFrame) -> DataFrame:
+    """One row a node: node_id, state, term, is_leader, leader_id, log_length and the five figures of its storage.
+
+    ``nodes``: node, state, current_term, leader; ``logs``: node, idx; ``layers``: node, kind (memtable, immutable or segment), table, entries, bytes.
+    """
+    length = logs.groupBy("node").agg(F.count("*").alias("log_length"))
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(F.lit(0))).cast("long")
+    stored = layers.groupBy("node").agg(
+        of("memtable", "entries").alias("memtable_entries"), of("memtable", "bytes").alias("memtable_bytes"), of("immutable", "entries").alias("immutable_entries"),
+        F.sum((F.col("kind") == "segment").cast("long")).alias("sstable_count"), of("segment", "entries").alias("total_sstable_entries"),
+    )
+    zero = F.lit(0).cast("long")
+    figures = ("log_length", "memtable_entries", "memtable_bytes", "immutable_entries", "sstable_count", "total_sstable_entries")
+    joined = nodes.join(length, "node", "left").join(stored, "node", "left")
+    return joined.select(F.col("node").alias("node_id"), "state", F.col("current_term").alias("term"), (F.col("state") == "Leader").alias("is_leader"), F.col("leader").alias("leader_id"), *(F.coalesce(c, zero).alias(c) for c in figures))
+
+
 def propose(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """seq, node, accepted, idx, leader: a leader appends proposals in order of seq; others name the leader they know."""
     from pyspark.sql import Window as W

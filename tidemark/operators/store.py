@@ -11,6 +11,7 @@ relies on a rename that fails if the version is there already.
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import uuid
@@ -40,7 +41,7 @@ class Segment:
     bytes: int
     num_bits: int
     num_hash: int
-    bits: list[int] | None = None
+    bits: str | None = None  # the filter, num_bits bits from the lowest of each byte, in base64
 
 
 @dataclass
@@ -160,8 +161,8 @@ class Store:
             return False
         if s["bits"] is None:
             return True
-        bits = set(s["bits"])
-        return all(p in bits for p in python_positions(key.encode(), s["num_bits"], s["num_hash"]))
+        bits = base64.b64decode(s["bits"])
+        return all(bits[p >> 3] >> (p & 7) & 1 for p in python_positions(key.encode(), s["num_bits"], s["num_hash"]))
 
     def snapshot(self, version: int | None = None) -> DataFrame:
         return lww.snapshot(self.log(version)).select("key", "value", "seq")
@@ -186,7 +187,7 @@ class Store:
         if f["n"]:
             bits = None
             if f["n"] <= self.bloom_keys:  # a larger segment relies on its files' own filters
-                bits = bloom.build(made.select(F.lit(segment).cast("long").alias("segment"), "key")).first()["bits"]
+                bits = packed(bloom.build_words(made.select(F.lit(segment).cast("long").alias("segment"), "key")).select("word", "mask").collect(), 10 * f["n"])
             num_bits = max(64, 10 * f["n"])
             m.segments.append(asdict(Segment(segment, level, path, f["a"], f["b"], f["c"], f["d"], f["n"], f["t"], f["s"], num_bits, 6, bits)))
             m.next_segment += 1
@@ -242,13 +243,21 @@ class Store:
         m = self.manifest
         return {
             "version": m.version, "last_seq": m.next_seq - 1, "flushed_seq": m.flushed_seq, "memtable_batches": len(m.logs), "memtable_bytes": sum(x[3] for x in m.logs),
-            "l0_segments": sum(s["level"] == 0 for s in m.segments), "l1_segments": sum(s["level"] == 1 for s in m.segments), "segment_entries": sum(s["n_entries"] for s in m.segments), "tombstones": sum(s["n_tombstones"] for s in m.segments),
+            "memtable_entries": sum(x[2] - x[1] + 1 for x in m.logs), "segments": len(m.segments), "l0_segments": sum(s["level"] == 0 for s in m.segments), "l1_segments": sum(s["level"] == 1 for s in m.segments), "segment_entries": sum(s["n_entries"] for s in m.segments), "tombstones": sum(s["n_tombstones"] for s in m.segments),
         }
 
     def close(self) -> None:
         self.flush()
 
 
+def packed(words: list, bits: int) -> str:
+    """Words of a filter (word, mask) as base64; a manifest's filters have a bounded number of keys."""
+    out = bytearray(8 * (max(64, bits) // 64 + 1))
+    for word, mask in words:
+        out[8 * word : 8 * word + 8] = (mask & (1 << 64) - 1).to_bytes(8, "little")
+    return base64.b64encode(out).decode()
+
+
 def python_positions(key: bytes, num_bits: int, num_hash: int) -> list[int]:
     """The same bits as ``bloom.positions``, for one key on the driver."""
     h = bloom.START_HIGH << 32 | bloom.START_LOW

@@ -62,7 +62,7 @@ def q01c(spark, d):
 
 @query("q02_point_get", LATEST + " SELECT key, op, value, seq FROM latest WHERE key = '42'")
 def q02(spark, d):
-    return lww.get(log(spark, d), "42").select("key", "op", "value", "seq")
+    return lww.get(changelog.events_log(spark, d, "42", "42"), "42").select("key", "op", "value", "seq")
 
 
 @query("q03_batch_get", LATEST + """ SELECT k.key, CASE WHEN l.op IS NULL THEN 'absent' WHEN l.op = 1 THEN 'hit' ELSE 'deleted' END AS state, CASE WHEN l.op = 1 THEN l.value END AS value
@@ -73,7 +73,7 @@ def q03(spark, d):
 
 @query("q04_range_scan", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1 AND key BETWEEN '10' AND '19'")
 def q04(spark, d):
-    return lww.scan(log(spark, d), "10", "19").select("key", "value", "seq")
+    return lww.scan(changelog.events_log(spark, d, "10", "19"), "10", "19").select("key", "value", "seq")
 
 
 @query("q05_ordered_scan", LATEST + " SELECT key, op, value, seq FROM latest ORDER BY key")
@@ -147,18 +147,19 @@ BITS = C + f""", k AS (SELECT DISTINCT segment, key FROM c), n AS (SELECT segmen
 
 @query("q10_bloom_build", BITS + " SELECT segment, n_keys, m AS num_bits, count(*) AS set_bits, CAST(sum(bit) AS BIGINT) AS position_sum FROM bits GROUP BY segment, n_keys, m")
 def q10(spark, d):
-    total = F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + b)
-    return bloom.build(log(spark, d)).select("segment", "n_keys", "num_bits", F.size("bits").cast("long").alias("set_bits"), total.alias("position_sum"))
+    w = bloom.build_words(log(spark, d)).withColumn("at", bloom.set_places(F.col("word"), F.col("mask")))
+    total = F.aggregate("at", F.lit(0).cast("long"), lambda a, b: a + b)
+    return w.groupBy("segment", "n_keys", "num_bits").agg(F.sum(F.size("at").cast("long")).alias("set_bits"), F.sum(total).alias("position_sum"))
 
 
 @query("q10b_bloom_probe", BITS + f""", p AS (SELECT n.segment, CAST(r.range AS VARCHAR) AS key, n.m FROM n, range(0, 300) r), ph AS (SELECT segment, key, m, {FNV} AS h FROM p),
   pb AS (SELECT segment, key, CAST(((h % 4294967296 + i * ((h // 4294967296) + CASE WHEN (h // 4294967296) % 2 = 0 THEN 1 ELSE 0 END)) % 4294967296) % m AS BIGINT) AS bit FROM ph, range(0, 6) t(i))
   SELECT pb.segment, pb.key, bool_and(b.bit IS NOT NULL) AS maybe FROM pb LEFT JOIN bits b ON b.segment = pb.segment AND b.bit = pb.bit GROUP BY pb.segment, pb.key""")
 def q10b(spark, d):
-    filters = bloom.build(log(spark, d))
+    filters = bloom.build_words(log(spark, d))
     # Every filter is asked for a fixed list of 300 keys.
-    probes = filters.select("segment", F.explode(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda k: k.cast("string"))).alias("key"))
-    return bloom.probe(filters, probes)
+    probes = filters.select("segment").distinct().select("segment", F.explode(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda k: k.cast("string"))).alias("key"))
+    return bloom.probe_words(filters, probes)
 
 
 @query("q11_bloom_sizing", C + """ SELECT segment, per_key, n_keys, m AS num_bits, CAST(k AS INTEGER) AS num_hash, round(pow(1 - exp(-k::double * n_keys::double / m::double), k::double), 9) AS fpr
@@ -171,7 +172,15 @@ def q11(spark, d):
     return sized.withColumn("fpr", F.round(bloom.false_positive_rate(F.col("n_keys"), F.col("num_bits"), F.col("num_hash")), 9))
 
 
-@query("q12_wal_crc")
+#: CRC-32 of a list b of bytes, by a table t of 256 numbers made from the polynomial.
+CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda c, b: xor(c // 256, t[1 + (xor(c, b) % 256)::INT])), 4294967295::UBIGINT)"""
+LE32 = "[({0})::UBIGINT % 256, ({0})::UBIGINT // 256 % 256, ({0})::UBIGINT // 65536 % 256, ({0})::UBIGINT // 16777216 % 256]"
+OCTETS = "list_transform(range(1, strlen({0}) + 1), lambda i: ascii(substr({0}, i::INT, 1))::UBIGINT)"
+
+
+@query("q12_wal_crc", C + f""", crc AS (SELECT list(list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) ORDER BY n) AS t FROM range(256) r(n)),
+  b AS (SELECT seq, list_concat(list_concat(list_concat([op::UBIGINT], {LE32.format('strlen(key)')}), {OCTETS.format('key')}), list_concat({LE32.format("strlen(coalesce(value, ''))")}, {OCTETS.format("coalesce(value, '')")})) AS b FROM c)
+  SELECT seq, CAST({CRC} AS BIGINT) AS crc, CAST(len(b) + 8 AS BIGINT) AS frame_bytes FROM b, crc""")
 def q12(spark, d):
     p = wal.payload(F.col("op"), F.col("key"), F.col("value"))
     return log(spark, d).select("seq", F.crc32(p).alias("crc"), (F.octet_length(p) + 8).cast("long").alias("frame_bytes"))
@@ -184,7 +193,7 @@ def q13(spark, d):
     bad = F.concat(F.substring("frame", F.lit(1), F.octet_length("frame") - 1), F.unhex(F.lit("ff")))
     damaged = framed.withColumn("frame", F.when((F.col("segment") % 2 == 1) & (F.expr("seq % 1000") == 700), bad).otherwise(F.col("frame")))
     files = damaged.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("seq", "frame"))).alias("f"))
-    joined = F.aggregate("f", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["frame"]))
+    joined = F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["frame"])), ""))  # one concatenation, whatever the log's length
     replayed = wal.replay(files.select(F.col("segment").cast("string").alias("path"), joined.alias("content")))
     return replayed.select(F.col("path").cast("long").alias("segment"), "frame_no", "key", "op", F.decode("value", "UTF-8").alias("value"))
 
@@ -430,8 +439,10 @@ def q03b(spark, d):
   pb AS (SELECT segment, key, CAST(((h % 4294967296 + i * ((h // 4294967296) + CASE WHEN (h // 4294967296) % 2 = 0 THEN 1 ELSE 0 END)) % 4294967296) % m AS BIGINT) AS bit FROM ph, range(0, 6) t(i))
   SELECT pb.segment, pb.key, bool_and(b.bit IS NOT NULL) AS maybe FROM pb LEFT JOIN bits b ON b.segment = pb.segment AND b.bit = pb.bit GROUP BY pb.segment, pb.key""")
 def q10c(spark, d):
-    filters = bloom.build(log(spark, d))
-    return bloom.probe(filters, filters.select("segment").crossJoin(_probe_keys(spark, d)))
+    filters = bloom.build_words(log(spark, d))
+    segments = filters.agg(F.collect_set("segment").alias("segments"))  # one row, of a number for each filter
+    probes = _probe_keys(spark, d).join(F.broadcast(segments)).select(F.explode("segments").alias("segment"), "key")
+    return bloom.probe_words(filters, probes)
 
 
 @query("q15b_missing_keys_all", C + f" SELECT CAST(id AS VARCHAR) AS key FROM {PROBES} r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.key = CAST(r.id AS VARCHAR))")
@@ -472,6 +483,90 @@ def q24b(spark, d):
     return quorum.peers(spark.read.parquet(f"{d}/supplier.parquet").select(((s - 1) % 5 + 1).alias("node"), listed.alias("peers")))
 
 
+@query("q16b_bloom_prefilter", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def q16b(spark, d):
+    """The same customers by a Bloom filter of the orders' keys, which drops most others before the exact join."""
+    customers, orders = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    wanted = orders.where("o_orderstatus = 'P'").select(F.lit(0).cast("long").alias("segment"), F.col("o_custkey").cast("string").alias("key"))
+    asked = customers.select(F.lit(0).cast("long").alias("segment"), F.col("c_custkey").cast("string").alias("key"))
+    maybe = bloom.probe_words(bloom.build_words(wanted), asked).where("maybe").select("key")
+    kept = customers.withColumn("key", F.col("c_custkey").cast("string")).join(maybe, "key", "left_semi")
+    return kept.join(wanted, "key", "left_semi").select("c_custkey", "c_name")
+
+
+@query("q23b_append_commit", """SELECT seq, CASE WHEN ok THEN greatest(commit, least(leader_commit, CASE WHEN conflict THEN prev_idx + n_entries ELSE greatest(my_last_idx, prev_idx + n_entries) END)) ELSE commit END AS new_commit
+  FROM (SELECT *, prev_idx = 0 OR prev_idx <= my_last_idx AS ok FROM (SELECT event_id AS seq, event_id % 50 AS prev_idx, event_id % 4 AS n_entries, user_id % 60 AS leader_commit, user_id % 30 AS commit, user_id % 70 AS my_last_idx, event_id % 5 = 0 AS conflict FROM events))""")
+def q23b(spark, d):
+    """The commit bound of followers whose log may be longer than what a request brings."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    r = e.selectExpr("event_id as seq", "1 as term", "1 as current_term", "event_id % 50 as prev_idx", "1 as prev_term", "if(event_id % 50 <= user_id % 70, 1, null) as my_prev_term", "event_id % 4 as n_entries", "user_id % 60 as leader_commit", "user_id % 30 as commit", "1L as next_idx", "0L as match_idx", "user_id % 70 as my_last_idx", "event_id % 5 = 0 as conflict")
+    return quorum.append_result(r).select("seq", "new_commit")
+
+
+CHECKED = """WITH a AS (SELECT event_id // 500 AS log, event_id AS idx, event_id // 300 AS term FROM events WHERE event_id % 500 < 400 - 40 * (event_id // 500 % 3)),
+  r AS (SELECT DISTINCT event_id // 500 AS log, event_id // 500 * 500 + 349 AS prev_idx, (event_id // 500 * 500 + 349) // 300 + event_id // 500 % 2 AS prev_term FROM events),
+  j AS (SELECT r.log, r.prev_idx, a.term AS mine, coalesce(a.term = r.prev_term, false) AS ok FROM r LEFT JOIN a ON a.log = r.log AND a.idx = r.prev_idx),
+  kept AS (SELECT a.* FROM a LEFT JOIN j ON j.log = a.log WHERE j.log IS NULL OR j.ok OR j.mine IS NULL OR a.idx < j.prev_idx),
+  e AS (SELECT event_id // 500 AS log, event_id AS idx, event_id // 300 + CASE WHEN event_id % 500 > 380 THEN 1 ELSE 0 END AS term FROM events WHERE event_id % 500 >= 350 AND event_id // 500 IN (SELECT log FROM j WHERE ok)),
+  cut AS (SELECT kept.log, min(kept.idx) AS cut FROM kept JOIN e ON e.log = kept.log AND e.idx = kept.idx WHERE e.term <> kept.term GROUP BY 1), rest AS (SELECT kept.* FROM kept LEFT JOIN cut ON cut.log = kept.log WHERE cut IS NULL OR idx < cut)"""
+
+
+@query("q35b_append_checked", CHECKED + " SELECT log, idx, term FROM rest UNION ALL SELECT log, idx, term FROM e WHERE NOT EXISTS (SELECT 1 FROM rest WHERE rest.log = e.log AND rest.idx = e.idx)")
+def q35b(spark, d):
+    """Followers' logs after requests of which every second one names another term before its entries: those logs are cut there."""
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id div 500 as log", "event_id as idx", "event_id div 300 as term")
+    requests = e.select("log").distinct().selectExpr("log", "log * 500 + 349 as prev_idx", "(log * 500 + 349) div 300 + log % 2 as prev_term")
+    new = e.where("idx % 500 >= 350").withColumn("term", F.expr("term + if(idx % 500 > 380, 1, 0)"))
+    return quorum.append_checked(e.where("idx % 500 < 400 - 40 * (log % 3)"), requests, new)
+
+
+@query("q38_node_status", SEGMENTS + f""", n AS (SELECT user_id AS node, count(*) AS log_length, max(event_id) AS last FROM events GROUP BY 1), s2 AS (SELECT CAST(key AS BIGINT) AS node, segment, count(*) AS entries, CAST(sum({BYTES}) AS BIGINT) AS bytes FROM s GROUP BY 1, 2), newest AS (SELECT max(segment) AS m FROM s)
+  SELECT n.node AS node_id, CASE last % 3 WHEN 0 THEN 'Follower' WHEN 1 THEN 'Candidate' ELSE 'Leader' END AS state, last // 300 AS term, last % 3 = 2 AS is_leader, last % 5 AS leader_id, log_length,
+  coalesce(sum(entries) FILTER (segment = m), 0)::BIGINT AS memtable_entries, coalesce(sum(bytes) FILTER (segment = m), 0)::BIGINT AS memtable_bytes, coalesce(sum(entries) FILTER (segment = m - 1), 0)::BIGINT AS immutable_entries,
+  count(*) FILTER (segment < m - 1) AS sstable_count, coalesce(sum(entries) FILTER (segment < m - 1), 0)::BIGINT AS total_sstable_entries FROM n JOIN s2 ON s2.node = n.node, newest GROUP BY n.node, last, log_length""")
+def q38(spark, d):
+    """A status row for each user as a node: the newest segment is its memtable, the one before it the immutable one, the rest its tables."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    last = F.max("event_id")
+    nodes = e.groupBy(F.col("user_id").alias("node")).agg(last.alias("last")).selectExpr("node", "case last % 3 when 0 then 'Follower' when 1 then 'Candidate' else 'Leader' end as state", "last div 300 as current_term", "last % 5 as leader")
+    entries = layers.segments(log(spark, d)).select(F.col("key").cast("long").alias("node"), "segment", layers.entry_bytes().alias("b"))
+    each = entries.groupBy("node", "segment").agg(F.count("*").alias("entries"), F.sum("b").alias("bytes"))
+    newest = F.broadcast(entries.agg(F.max("segment").alias("m")))  # one row
+    kind = F.expr("case when segment = m then 'memtable' when segment = m - 1 then 'immutable' else 'segment' end")
+    tables = each.join(newest).select("node", kind.alias("kind"), F.col("segment").alias("table"), "entries", "bytes")
+    return quorum.status(nodes, e.select(F.col("user_id").alias("node"), F.col("event_id").alias("idx")), tables)
+
+
+@query("q39_store_writes", "SELECT * FROM (VALUES ('a', 'hit', '1x'), ('b', 'deleted', NULL), ('c', 'hit', ''), ('d', 'absent', NULL), ('e', 'hit', '9')) v(key, state, value)")
+def q39(spark, d):
+    """Puts and deletes through a store that is flushed, closed and opened again between them; then five keys are read one by one."""
+    from tidemark.operators.store import Store
+
+    home = shared_path(spark, "store")
+    store = Store(spark, home)
+    for key, value in (("a", "0"), ("b", "2"), ("c", "3")):
+        store.put(key, value)
+    store.flush()
+    store.delete("b"), store.put("a", "1x"), store.put("c", ""), store.delete("never")
+    store = Store(spark, home)  # what is in the log is there again
+    store.put("e", "9")
+    store.close()
+    store = Store(spark, home)
+    rows = []
+    for key in "abcde":
+        value, known = store.get(key)
+        rows.append((key, "absent" if not known else "deleted" if value is None else "hit", value.decode() if value is not None else None))
+    return spark.createDataFrame(rows, "key string, state string, value string")
+
+
+@query("q40_segment_codec", SEGMENTS + " SELECT segment, CAST(row_number() OVER (PARTITION BY segment ORDER BY key) - 1 AS BIGINT) AS place, key, op, value FROM s")
+def q40(spark, d):
+    """Each segment's entries written as a segment file and read back, in order of the key."""
+    from tidemark.sources import segment_file
+
+    return segment_file.round_trip(layers.segments(log(spark, d)))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

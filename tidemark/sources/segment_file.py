@@ -108,3 +108,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("path", "content")
     return files.mapInArrow(decode, "path string, key string, op int, value binary")
+
+
+def round_trip(rows: DataFrame) -> DataFrame:
+    """segment, place, key, op, value of entries (segment, key, op, value as text) that were written as one file for each segment and read back. A file, which a flush bounds, is made in one task."""
+    ship(rows.sparkSession)
+
+    def through(group: pa.Table) -> pa.Table:
+        pairs = [(k.encode(), None if op == DELETE else (v or "").encode()) for k, op, v in zip(*(group.column(c).to_pylist() for c in ("key", "op", "value")))]
+        back = list(entries(encode(sorted(pairs))))
+        segment = group.column("segment")[0].as_py()
+        names = ["segment", "place", "key", "op", "value"]
+        columns = [[segment] * len(back), list(range(len(back))), [k.decode() for k, _ in back], [DELETE if v is None else PUT for _, v in back], [None if v is None else v.decode() for _, v in back]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()))], names=names)
+
+    return rows.select("segment", "key", "op", "value").groupBy("segment").applyInArrow(through, "segment long, place long, key string, op int, value string")
