@@ -15,6 +15,9 @@ _shipped: set[str] = set()
 #: Bytes of rows that go to Python at once, unless the session has a setting of its own.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
+#: Lets go of a write's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, and bound the batches that Python gets."""
@@ -74,7 +77,14 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+    """Write and read back. The shuffle files of the write go when the table is there, since nothing reads them any more."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
