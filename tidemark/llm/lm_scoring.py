@@ -1,16 +1,25 @@
-"""Language-model scores by a weighted backoff automaton over bigrams of all training texts.
+"""Language-model scores by a weighted backoff automaton over trigrams of all training texts.
 
 The model. Tokens are lower-cased words and one end per text. The empty state
-gives token w the weight log10 of p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). A word h
-seen in training is a state: for a pair seen c(h w) times there is an arc with
-weight log10((c(h w) + K p(w)) / (c(h) + K)), and a failure arc with weight
-log10(K / (c(h) + K)) leads to the empty state, which then reads w. The weights out
-of any state are the logarithms of a distribution over the V tokens and one
-unknown. Reading w leads to the state w (to the empty one if w is unknown).
+gives token w the weight log10 of p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). A word v
+seen in training is a state: for a pair seen c(v w) times there is an arc with
+weight log10 of p(w|v) = (c(v w) + K p(w)) / (c(v) + K), and a failure arc with
+weight log10(K / (c(v) + K)) leads to the empty state, which then reads w. A pair
+(u v) seen in training is a state, too: an arc for each seen trigram has weight
+log10((c(u v w) + L p(w|v)) / (c(u v) + L)), and the failure arc with weight
+log10(L / (c(u v) + L)) leads to the state v, and on from there. The weights out of
+any state are the logarithms of a distribution over the V tokens and one unknown.
+Reading w from any of them leads to the state (v w) if that pair is known, else to
+w, else to the empty state: the longest known end of what was read. A text starts
+in a state of its own, the one before any word.
+
+So the state that a traversal carries is known from the last two tokens, and the
+states of all tokens of a block are found at once; each token's weight is that of
+its chain of failure arcs and the arc at its end.
 
 The counts. No machine holds all of them. Tasks read the texts in blocks and keep
 each block as word numbers with its own word list. A block asks for the totals
-of its distinct words and pairs, giving its own training counts along: one row for
+of its distinct words, pairs and trigrams, giving its own training counts along: one row for
 each block and hash bucket, so a frequent word weighs no more than a rare one.
 Buckets add up and answer in the order of the question. A block then has the
 part of the automaton that its own texts can reach, whole and exact but for
@@ -37,7 +46,8 @@ from tidemark.llm.near_dedup import constants, mix, powers
 from tidemark.runtime import Scratch, ship
 
 BLOCK_TOKENS, BUCKET_BITS, KEYS_PER_BUCKET = 1_000_000, 10, 1 << 20
-PRIOR = 30.0
+#: K and L: how many times a shorter context counts beside what was seen.
+PRIOR, PRIOR_PAIR = 30.0, 4.0
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,7 +118,7 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
 
 class Block:
-    """A block's tokens with their pairs, in the order in which it asks for totals."""
+    """A block's tokens with their pairs and trigrams, in the order in which it asks for totals."""
 
     def __init__(self, row: dict):
         self.lengths = numbers(row["lengths"]).astype(np.int64)
@@ -121,10 +131,26 @@ class Block:
         before[self.first] = len(self.words)  # the state before a text
         codes, self.pair = np.unique(before * (len(self.words) + 1) + self.ids, return_inverse=True)
         self.state, self.read = np.divmod(codes, len(self.words) + 1)
+        # A trigram is a pair and the token after it; the first token of a text has none.
+        context = np.empty_like(self.pair)
+        context[1:] = self.pair[:-1]
+        context[self.first] = len(codes)
+        threes, self.three = np.unique(context * (len(self.words) + 1) + self.ids, return_inverse=True)
+        self.context, last = np.divmod(threes, len(self.words) + 1)
+        self.short = np.empty(len(threes), np.int64)  # the pair that ends a trigram
+        self.short[self.three] = self.pair
         both = np.append(self.words, BEGIN)
-        self.pair_keys = mix(mix(both[self.state] * _STEP + np.uint64(1)) + self.words[self.read]) >> np.uint64(8)
-        self.word_keys = mix(self.words + np.uint64(7)) >> np.uint64(8)
-        self.pair_order, self.word_order = np.argsort(self.pair_keys, kind="stable"), np.argsort(self.word_keys, kind="stable")
+        pair_mix = mix(mix(both[self.state] * _STEP + np.uint64(1)) + self.words[self.read])
+        three_mix = mix(mix(np.append(pair_mix, np.uint64(0))[self.context] * _STEP + np.uint64(3)) + self.words[last])
+        self.keys = {"w": mix(self.words + np.uint64(7)) >> np.uint64(8), "p": pair_mix >> np.uint64(8), "t": three_mix >> np.uint64(8)}
+        self.order = {kind: np.argsort(keys, kind="stable") for kind, keys in self.keys.items()}
+        real = self.context < len(codes)
+        self.order["t"] = self.order["t"][real[self.order["t"]]]  # nobody is asked for what starts a text
+
+    def counts(self, kind: str) -> np.ndarray:
+        """Training counts of the block's own tokens, in the order of its keys."""
+        of = {"w": self.ids, "p": self.pair, "t": self.three}[kind]
+        return np.bincount(of[self.learn], minlength=len(self.keys[kind])).astype(np.uint64)[self.order[kind]]
 
 
 def asked(made: DataFrame, bits: int) -> DataFrame:
@@ -134,15 +160,14 @@ def asked(made: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                pairs = np.bincount(b.pair[b.learn], minlength=len(b.pair_keys)).astype(np.uint64)
-                for kind, keys, order, counts in (("p", b.pair_keys, b.pair_order, pairs), ("w", b.word_keys, b.word_order, numbers(row["trained"]))):
-                    keys, counts = keys[order], counts[order]
+                for kind in "pwt":
+                    keys, counts = b.keys[kind][b.order[kind]], b.counts(kind)
                     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(56 - bits))
                     k, c = np.split(keys, cuts), np.split(counts, cuts)
                     some = [i for i in range(1 << bits) if len(k[i])]
                     packed = [planes(np.diff(k[i], prepend=np.uint64(i << (56 - bits)))) for i in some]
                     n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array(some, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(packed, pa.binary()), pa.array([planes(c[i]) for i in some], pa.binary())], ["kind", "bucket", "block", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(some, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(packed, pa.binary()), pa.array([planes(c[i]) for i in some], pa.binary())], ["kind", "bucket", "block", "keys", "counts"])
 
     return made.mapInArrow(ask, "kind string, bucket int, block long, keys binary, counts binary")
 
@@ -166,18 +191,22 @@ def answered(requests: DataFrame, bits: int) -> DataFrame:
     return requests.groupBy("kind", "bucket").applyInArrow(answer, "kind string, bucket int, block long, totals binary, distinct_tokens long, all_tokens long")
 
 
-def traverse(b: Block, c_word: np.ndarray, c_pair: np.ndarray, n: int, v: int, prior: float, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(base weight, model weight) of every token of a block, in reading order."""
-    p = (c_word + 0.1) / (n + 0.1 * (v + 1))
-    c_state = np.append(c_word, texts)  # the state before a text has been left once for each training text
-    reached = c_state[b.state]
-    fail = np.where(reached > 0, np.log10(prior / (reached + prior)), 0.0)
-    arc = np.log10((c_pair + prior * p[b.read]) / (reached + prior))
-    weight = np.where((c_pair > 0) & (reached > 0), arc, fail + np.log10(p[b.read]))
-    return np.log10(p)[b.ids], weight[b.pair]
+def traverse(b: Block, counts: dict[str, np.ndarray], n: int, v: int, prior: float, prior_pair: float, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base weight, model weight) of every token of a block, in reading order.
+
+    An arc that was never seen has the weight of the failure arc and what is read
+    after it, which is what its formula gives for a count of zero; so does a state
+    that was never seen, whose failure arc costs nothing.
+    """
+    empty = (counts["w"] + 0.1) / (n + 0.1 * (v + 1))
+    left = np.append(counts["w"], texts)[b.state]  # the state before a text has been left once for each training text
+    pair = (counts["p"] + prior * empty[b.read]) / (left + prior)
+    left = np.append(counts["p"], 0)[b.context]
+    three = (counts["t"] + prior_pair * pair[b.short]) / (left + prior_pair)
+    return np.log10(empty)[b.ids], np.log10(three)[b.three]
 
 
-def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, prior_pair: float = PRIOR_PAIR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows that are not held out are learned from."""
     ship(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"), df[text_col].cast("string").alias("text"))
@@ -190,22 +219,26 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         texts = made.select(F.explode("held").alias("h")).where("not h").count()
         # A block gets its answers, one for each bucket that it asked.
         per_block = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "totals"))).alias("totals"))
-        return scratch.result(traversed(made.join(per_block, "block"), n, v, prior, texts), "scores")
+        return scratch.result(traversed(made.join(per_block, "block"), n, v, prior, prior_pair, texts), "scores")
 
 
-def traversed(joined: DataFrame, n: int, v: int, prior: float, texts: int) -> DataFrame:
+def traversed(joined: DataFrame, n: int, v: int, prior: float, prior_pair: float, texts: int) -> DataFrame:
     """The scores of the texts of blocks that have their totals."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                got = {"p": [], "w": []}
+                got = {"p": [], "w": [], "t": []}
                 for x in row["totals"]:
                     got[x["kind"]].append(numbers(x["totals"]))
-                c_pair, c_word = np.zeros(len(b.pair_keys)), np.zeros(len(b.words))
-                c_pair[b.pair_order], c_word[b.word_order] = np.concatenate(got["p"]), np.concatenate(got["w"])
-                base, model = traverse(b, c_word, c_pair, n, v, prior, texts)
+                counts = {}
+                for kind, parts in got.items():
+                    counts[kind] = np.zeros(len(b.keys[kind]))
+                    if parts:
+                        counts[kind][b.order[kind]] = np.concatenate(parts)
+                base, model = traverse(b, counts, n, v, prior, prior_pair, texts)
+                c_word = counts["w"]
                 add = lambda x, at=b.first: np.add.reduceat(x, at)
                 size = len(b.lengths)
                 yield pa.RecordBatch.from_arrays(
