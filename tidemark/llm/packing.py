@@ -37,7 +37,7 @@ from tidemark.llm.common import MAX_BROADCAST, id_text, spread, table
 from tidemark.llm.token_ids import default_files, encoder
 from tidemark.runtime import materialise, ship
 
-GROUP = 1 << 14
+GROUP = 1 << 10
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
