@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -153,14 +154,14 @@ class Block:
         return np.bincount(of[self.learn], minlength=len(self.keys[kind])).astype(np.uint64)[self.order[kind]]
 
 
-def asked(made: DataFrame, bits: int) -> DataFrame:
+def asked(made: DataFrame, bits: int, kinds: str = "pwt") -> DataFrame:
     """kind, bucket, block, keys, counts: what blocks ask for, sorted by key."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
-                for kind in "pwt":
+                for kind in kinds:
                     keys, counts = b.keys[kind][b.order[kind]], b.counts(kind)
                     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(56 - bits))
                     k, c = np.split(keys, cuts), np.split(counts, cuts)
@@ -214,7 +215,8 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         made = scratch.table(blocks(rows, block_tokens), "blocks")
         tokens = made.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         bits = max(BUCKET_BITS, min(30, (tokens // KEYS_PER_BUCKET).bit_length()))
-        replies = scratch.table(answered(asked(made, bits), bits), "totals")
+        # In two rounds, so that only one round's questions lie in shuffle files at a time.
+        replies = reduce(DataFrame.unionByName, (scratch.table(answered(asked(made, bits, kinds), bits), "totals") for kinds in ("pw", "t")))
         v, n = replies.agg(F.coalesce(F.sum("distinct_tokens"), F.lit(0)), F.coalesce(F.sum("all_tokens"), F.lit(0))).first()
         texts = made.select(F.explode("held").alias("h")).where("not h").count()
         # A block gets its answers, one for each bucket that it asked.
