@@ -99,6 +99,12 @@ def start_election(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.lit("Candidate").alias("state"), (F.col("current_term") + 1).alias("current_term"), F.col("node").alias("voted_for"))
 
 
+def election_timeout(node: Column, seed: int, least_ms: int = 300, most_ms: int = 500) -> Column:
+    """Milliseconds of a node's election timer, drawn evenly by a hash of seed and node, so that they do not depend on where a row lies."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), node.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return least_ms + (drawn * (most_ms - least_ms)).cast("double") / float(1 << 32)
+
+
 def to_send(log: DataFrame, progress: DataFrame) -> DataFrame:
     """leader, peer, prev_idx, n_entries of the next message to each peer: the suffix of the leader's log from next_idx. A log has no gaps."""
     ends = log.groupBy("leader").agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))

@@ -41,10 +41,6 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return changelog.events_log(spark, d)
 
 
-def keys(spark: SparkSession, n: int, step: int = 1) -> DataFrame:
-    return spark.range(0, n, step).select(F.col("id").cast("string").alias("key"))
-
-
 @query("q01_lww_snapshot", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1")
 def q01(spark, d):
     return lww.snapshot(log(spark, d)).select("key", "value", "seq")
@@ -65,12 +61,6 @@ def q02(spark, d):
     return lww.get(changelog.events_log(spark, d, "42", "42"), "42").select("key", "op", "value", "seq")
 
 
-@query("q03_batch_get", LATEST + """ SELECT k.key, CASE WHEN l.op IS NULL THEN 'absent' WHEN l.op = 1 THEN 'hit' ELSE 'deleted' END AS state, CASE WHEN l.op = 1 THEN l.value END AS value
-  FROM (SELECT CAST(range AS VARCHAR) AS key FROM range(0, 300, 3)) k LEFT JOIN latest l ON l.key = k.key""")
-def q03(spark, d):
-    return lww.batch_get(log(spark, d), keys(spark, 300, 3), few=True)
-
-
 @query("q04_range_scan", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1 AND key BETWEEN '10' AND '19'")
 def q04(spark, d):
     return lww.scan(changelog.events_log(spark, d, "10", "19"), "10", "19").select("key", "value", "seq")
@@ -81,11 +71,6 @@ def q05(spark, d):
     return lww.resolve(log(spark, d)).select("key", "op", "value", "seq").orderBy("key")
 
 
-@query("q06_compact_newest", C + " SELECT key, value, seq FROM (SELECT * FROM c WHERE segment <= 5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 1")
-def q06(spark, d):
-    return layers.compact(layers.segments(log(spark, d).where("segment <= 5"))).select("key", "value", "seq")
-
-
 @query("q06b_read_order", SEGMENTS + " SELECT key, segment, op, value FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY segment DESC) = 1")
 def q06b(spark, d):
     entries = layers.segments(log(spark, d)).withColumn("level", F.lit(0))
@@ -97,12 +82,6 @@ def q06c(spark, d):
     return layers.compact(layers.segments(log(spark, d)), compat="oldest_l0").select("key", "value", "seq")
 
 
-@query("q06d_compact_partial", C + " SELECT key, op, value, seq FROM c WHERE segment BETWEEN 3 AND 5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
-def q06d(spark, d):
-    entries = layers.segments(log(spark, d).where("segment between 3 and 5"))
-    return layers.compact(entries, full=False).select("key", "op", "value", "seq")
-
-
 @query("q07_memtable_bytes", SEGMENTS + f" SELECT segment, CAST(sum({BYTES}) AS BIGINT) AS bytes, count(*) AS n_entries FROM s GROUP BY segment")
 def q07(spark, d):
     return layers.segments(log(spark, d)).groupBy("segment").agg(F.sum(layers.entry_bytes()).alias("bytes"), F.count("*").alias("n_entries"))
@@ -133,13 +112,6 @@ def q09(spark, d):
     return _orders_index(spark, d)
 
 
-@query("q09b_index_seek", f"""WITH i AS ({INDEX}), p AS (SELECT o_orderkey // 4096 AS segment, o_orderkey AS probe FROM orders WHERE o_orderkey % 7 = 0)
-  SELECT p.segment, p.probe, max(CASE WHEN i.key <= p.probe THEN i.key END) AS first_key FROM p JOIN i ON i.segment = p.segment GROUP BY 1, 2""")
-def q09b(spark, d):
-    probes = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 7 = 0").select(F.expr("o_orderkey div 4096").alias("segment"), F.col("o_orderkey").alias("probe"))
-    return layers.index_seek(_orders_index(spark, d), probes)
-
-
 BITS = C + f""", k AS (SELECT DISTINCT segment, key FROM c), n AS (SELECT segment, count(*) AS n_keys, greatest(64, 10 * count(*)) AS m FROM k GROUP BY segment),
   h AS (SELECT segment, key, {FNV} AS h FROM k), x AS (SELECT h.segment, key, n_keys, m, h % 4294967296 AS a, (h // 4294967296) + CASE WHEN (h // 4294967296) % 2 = 0 THEN 1 ELSE 0 END AS b FROM h JOIN n ON n.segment = h.segment),
   bits AS (SELECT DISTINCT segment, n_keys, m, CAST(((a + i * b) % 4294967296) % m AS BIGINT) AS bit FROM x, range(0, 6) t(i))"""
@@ -152,16 +124,6 @@ def q10(spark, d):
     return w.groupBy("segment", "n_keys", "num_bits").agg(F.sum(F.size("at").cast("long")).alias("set_bits"), F.sum(total).alias("position_sum"))
 
 
-@query("q10b_bloom_probe", BITS + f""", p AS (SELECT n.segment, CAST(r.range AS VARCHAR) AS key, n.m FROM n, range(0, 300) r), ph AS (SELECT segment, key, m, {FNV} AS h FROM p),
-  pb AS (SELECT segment, key, CAST(((h % 4294967296 + i * ((h // 4294967296) + CASE WHEN (h // 4294967296) % 2 = 0 THEN 1 ELSE 0 END)) % 4294967296) % m AS BIGINT) AS bit FROM ph, range(0, 6) t(i))
-  SELECT pb.segment, pb.key, bool_and(b.bit IS NOT NULL) AS maybe FROM pb LEFT JOIN bits b ON b.segment = pb.segment AND b.bit = pb.bit GROUP BY pb.segment, pb.key""")
-def q10b(spark, d):
-    filters = bloom.build_words(log(spark, d))
-    # Every filter is asked for a fixed list of 300 keys.
-    probes = filters.select("segment").distinct().select("segment", F.explode(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda k: k.cast("string"))).alias("key"))
-    return bloom.probe_words(filters, probes)
-
-
 @query("q11_bloom_sizing", C + """ SELECT segment, per_key, n_keys, m AS num_bits, CAST(k AS INTEGER) AS num_hash, round(pow(1 - exp(-k::double * n_keys::double / m::double), k::double), 9) AS fpr
   FROM (SELECT segment, CAST(per_key AS INTEGER) AS per_key, n_keys, greatest(64, n_keys * per_key) AS m, CASE per_key WHEN 3 THEN 2 WHEN 5 THEN 3 WHEN 10 THEN 6 ELSE 10 END AS k
     FROM (SELECT segment, count(DISTINCT key) AS n_keys FROM c GROUP BY segment), (VALUES (3), (5), (10), (15)) v(per_key))""")
@@ -222,11 +184,6 @@ def q14b(spark, d):
     return r.join(found, "key", "left").select("seq", protocol.status_code(F.col("method"), F.col("key"), hit, ok, F.col("leader")).alias("code"))
 
 
-@query("q15_missing_keys", C + " SELECT CAST(range AS VARCHAR) AS key FROM range(0, 300) r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.key = CAST(r.range AS VARCHAR))")
-def q15(spark, d):
-    return lww.missing(log(spark, d), keys(spark, 300))
-
-
 @query("q16_bloom_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def q16(spark, d):
     """Customers with an open order. For large sides the optimizer puts its own Bloom filter before the shuffle; the semi join is exact."""
@@ -297,13 +254,6 @@ def q23(spark, d):
     return quorum.append_result(r).select("seq", "success", "new_commit", "new_next")
 
 
-@query("q24_peer_map", """SELECT node, CAST(i + CASE WHEN i >= node THEN 1 ELSE 0 END AS BIGINT) AS peer_id, ':' || (8000 + 10 * node + i) AS address FROM (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey <= 5), range(1, 5) t(i)""")
-def q24(spark, d):
-    nodes = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("node"))
-    listed = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit(":"), (8000 + 10 * F.col("node") + i).cast("string"))), " , ")
-    return quorum.peers(nodes.withColumn("peers", listed))
-
-
 @query("q25_stream_apply", LATEST + " SELECT key, value, seq FROM latest WHERE op = 1")
 def q25(spark, d):
     """The log cut into files in an order that is not that of seq, read as a stream; what is left live at its end."""
@@ -351,19 +301,18 @@ def q30(spark, d):
     return e.select(i.alias("seq"), state.alias("state"), F.format_string("%020d", i).alias("name"), F.concat(F.lit(":"), (F.col("user_id") + 1000).cast("string")).alias("address"))
 
 
-@query("q07c_exact_flushes")
+@query("q07c_exact_flushes", C.replace("WITH c", "WITH RECURSIVE c", 1) + f""", k AS (SELECT CAST(key AS BIGINT) % 8 AS store, seq, key, {BYTES} AS b FROM c),
+  e AS (SELECT store, seq, b, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev, lag(b) OVER (PARTITION BY key ORDER BY seq) AS was, lead(seq) OVER (PARTITION BY store ORDER BY seq) AS nxt FROM k),
+  f AS (SELECT store, CAST(-1 AS BIGINT) AS flush, CAST(NULL AS BIGINT) AS first_seq, CAST(NULL AS BIGINT) AS last_seq, CAST(0 AS BIGINT) AS n_keys, CAST(0 AS BIGINT) AS bytes, min(seq) AS start FROM k GROUP BY store
+  UNION ALL SELECT store, flush + 1, start, seq, n, run, nxt FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY run >= 1024 DESC, CASE WHEN run >= 1024 THEN seq ELSE -seq END) AS r FROM (
+    SELECT f.store, f.flush, f.start, e.seq, e.nxt, CAST(sum(CASE WHEN e.prev >= f.start THEN e.b - e.was ELSE e.b END) OVER w AS BIGINT) AS run, CAST(sum(CASE WHEN e.prev >= f.start THEN 0 ELSE 1 END) OVER w AS BIGINT) AS n
+    FROM f JOIN e ON e.store = f.store AND e.seq >= f.start WINDOW w AS (PARTITION BY f.store ORDER BY e.seq))) WHERE r = 1)
+  SELECT store, flush, first_seq, last_seq, n_keys, bytes FROM f WHERE flush >= 0""")
 def q07c(spark, d):
     """Overwrite-aware memtables, for eight stores that share the log by user."""
     return layers.exact_flushes(log(spark, d).withColumn("store", F.col("key").cast("long") % 8), 1024)
 
 
-@query("q31_last_entries", """SELECT n.node, coalesce(l.last_idx, 0) AS last_idx, coalesce(l.last_term, 0) AS last_term, coalesce(l.length, 0) AS length FROM (SELECT range AS node FROM range(0, 200)) n
-  LEFT JOIN (SELECT user_id AS node, max(event_id) AS last_idx, arg_max(event_id // 300, event_id) AS last_term, count(*) AS length FROM events GROUP BY 1) l ON l.node = n.node""")
-def q31(spark, d):
-    entries = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id as node", "event_id as idx", "event_id div 300 as term")
-    return quorum.last_entries(entries, spark.range(200).select(F.col("id").alias("node")))
-
-
 @query("q32_become_leader", "SELECT leader, peer, max_idx + 1 AS next_idx, CAST(0 AS BIGINT) AS match_idx FROM (SELECT user_id AS leader, max(event_id) AS max_idx FROM events GROUP BY 1), (SELECT range AS peer FROM range(1, 5))")
 def q32(spark, d):
     leaders = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("leader")).agg(F.max("event_id").alias("last_idx"))
@@ -409,10 +358,10 @@ def q36(spark, d):
     return quorum.propose(e.selectExpr("event_id as seq", "user_id as node"), nodes)
 
 
-@query("q37_election_timeouts")
+@query("q37_election_timeouts", """SELECT s_suppkey, 300 + CAST(CAST('0x' || substr(md5('7:' || s_suppkey), 1, 8) AS BIGINT) * 200 AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS timeout_ms FROM supplier""")
 def q37(spark, d):
-    """Timeouts of 300 to 500 ms, drawn with a seed."""
-    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.rand(7) * 200 + 300).alias("timeout_ms"))
+    """Timeouts of 300 to 500 ms; seed and node decide, not the partitions."""
+    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", quorum.election_timeout(F.col("s_suppkey"), 7).alias("timeout_ms"))
 
 
 #: Every user and ten ids after the last one, which have no log.
