@@ -16,13 +16,16 @@ merge differently together. Two texts with equal histories have equal futures,
 so states are shared. New words still bring new states; a worker keeps at most
 ``MAX_STATES`` of them and ``MAX_MAPS`` chunk maps, and starts anew beyond that.
 
-A text is cut into chunks, and a chunk's state map takes any state to a state and
-a count. Between a character that is not white space and a space a piece ends
-whatever the state is, so a map of a chunk that starts there is one count for all
-states; such maps are remembered, and a sum composes them. A chunk without such a
-place, if long, is cut again at a fixed length: its map keeps what precedes the
-first certain boundary, and for the rest has one count and one state. These maps
-compose associatively; a doubling prefix scan composes them.
+A text is cut into chunks of a fixed length, and a chunk's state map takes any
+state to a state and a count. At some places a piece ends whatever the state is:
+between a character that is not white space and a space, or between a letter and
+a punctuation mark. So a map keeps what precedes the chunk's first certain
+boundary, and for the rest has one count and one state. The words between certain
+boundaries are the same again and again; a worker remembers their counts. Maps
+do not depend on each other and compose associatively; a prefix scan with about
+two compositions a chunk composes them, in rounds whose compositions are again
+independent. A chunk without a certain boundary is joined with the next one, so a
+text without any is one run. All of a text's chunks are in the task that has its row.
 
 Defined results: a null or empty text has 0 tokens and 0 bytes; a null id stays
 null; repeated rows are counted each; other columns are ignored. An added
@@ -42,13 +45,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import id_text, spread, table
 from tidemark.runtime import ship
 
-#: Characters of a chunk without a certain boundary; states and chunk maps that a worker keeps before it starts anew.
-CHUNK, MAX_STATES, MAX_MAPS = 16_384, 250_000, 1_000_000
+#: Characters of a chunk; states and chunk maps that a worker keeps before it starts anew.
+CHUNK, MAX_STATES, MAX_MAPS = 4_096, 250_000, 1_000_000
 LETTER, DIGIT, OTHER, SPACE = "L", "N", "O", "S"
 #: Contractions of the pre-tokenizer, by their second character.
 SHORT, LONG = "stmd", {"r": "e", "v": "e", "l": "l"}
 #: A certain boundary. Python counts a few more characters as white space than the pre-tokenizer does, which is safe here.
 _SYNC = re.compile(r"(?<=\S) ")
+#: Any certain boundary. Letters and marks that all Unicode versions have as such; an apostrophe may belong to a contraction and is none.
+_FIRST = re.compile("(?<=\\S) |(?<=[A-Za-z\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[,.!?;:\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -77,7 +82,7 @@ class ChunkMaps(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) >= MAX_MAPS:
             self.clear()
-        n = self.compiler.scanned(" " + chunk)
+        n = self.compiler.run(self.compiler.start, " " + chunk)[1]
         if len(chunk) <= 64:
             self[chunk] = n
         return n
@@ -230,10 +235,16 @@ class Transducer:
 
     def chunk_map(self, text: str) -> tuple[str, int, State | None]:
         """(what precedes the first certain boundary, count after it, last state); no state: there is no boundary."""
-        found = _SYNC.search(text)
+        found = _FIRST.search(text)
         if found is None:
             return text, 0, None
-        state, n = self.run(self.start, text[found.start() :])
+        first, *words = _SYNC.split(text[found.start() :])
+        state, n = self.run(self.start, first)
+        if words:
+            last = words.pop()
+            n += sum(map(self.maps.__getitem__, words))
+            state, d = self.run(self.start, " " + last)
+            n += d
         return text[: found.start()], n, state
 
     def compose(self, a: tuple, b: tuple) -> tuple:
@@ -243,18 +254,28 @@ class Transducer:
         return a[0], a[1] + n + b[1], state if b[2] is None else b[2]
 
     def scan(self, maps: list[tuple]) -> list[tuple]:
-        """All prefixes' maps, in about log2(len) rounds whose compositions do not depend on each other."""
-        step = 1
-        while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[i - step], maps[i]) for i in range(step, len(maps))]
-            step *= 2
-        return maps
+        """All prefixes' maps: pairs are composed, their prefixes found in the same way, and the places between them filled."""
+        if len(maps) < 2:
+            return maps
+        upper = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])])
+        return [maps[0]] + [upper[i // 2] if i % 2 else self.compose(upper[i // 2 - 1], maps[i]) for i in range(1, len(maps))]
+
+    def cut(self, text: str, chunk: int) -> list[tuple]:
+        """The maps of a text's chunks; all but the last have a certain boundary."""
+        maps, heads = [], []
+        for i in range(0, len(text), chunk):
+            head, n, state = self.chunk_map(text[i : i + chunk])
+            heads.append(head)
+            if state is not None:
+                maps.append(("".join(heads), n, state))
+                heads = []
+        return maps + ([("".join(heads), 0, None)] if heads else [])
 
     def scanned(self, text: str, chunk: int = CHUNK) -> int:
-        """Tokens of a text from the start state, by the maps of chunks of a fixed length."""
-        if len(text) <= chunk:
-            return self.run(self.start, text)[1]
-        head, n, _ = self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
+        """Tokens of a text from the start state, by the maps of its chunks."""
+        if not text:
+            return 0
+        head, n, _ = self.scan(self.cut(text, chunk))[-1]
         return self.run(self.start, head)[1] + n
 
     def count(self, text: str) -> int:
@@ -264,10 +285,7 @@ class Transducer:
         if self.special_re and any(s in text for s in self.special):
             parts = self.special_re.split(text)
             total = len(parts) - 1
-        for part in parts:
-            first, *rest = _SYNC.split(part)
-            total += self.scanned(first) + sum(map(self.maps.__getitem__, rest))
-        return total
+        return total + sum(map(self.scanned, parts))
 
 
 _compiled: dict[str, Transducer] = {}
