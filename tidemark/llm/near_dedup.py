@@ -304,14 +304,15 @@ def near_groups(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_c
         classes = scratch.table(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("post").alias("post"), F.first("sig").alias("sig")), "classes")
         counts = df.sparkSession.sparkContext.broadcast(np.minimum(frequencies(classes), 0xFFFFFFFF).astype(np.uint32))
         lists = scratch.table(placed(classes, POST - least_equal(POST, percent) + 1, counts), "postings")
-        tried = links = None
+        tried = roots = None
         for forest in (True, True, False):
-            labels = lists.withColumn("label", F.col("node")) if links is None else lists.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node"))
+            labels = lists.withColumn("label", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
             pairs = compared(labels, percent, forest, counts)
             pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             found = scratch.table(confirmed(pairs, classes, df, percent, id_col, text_col, scratch), "links")
-            tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
-        roots = components(links)
+            # What is known already is a star for each component, so only what the new links join moves.
+            links = found if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
+            tried, roots = pairs if tried is None else tried.unionByName(pairs), components(links)
         linked = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         named = linked.join(names, "root").select("node", "component_id")
