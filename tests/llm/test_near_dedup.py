@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tidemark.llm import components as components_module
 from tidemark.llm import near_dedup
 from tidemark.llm.components import components
 
@@ -105,8 +106,9 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_components_meet_across_partitions(spark):
+def test_components_meet_across_partitions(spark, monkeypatch):
     """Edges of one component in many partitions, with more edges at its centre than make a node hot."""
+    monkeypatch.setattr(components_module, "CHUNK", 100)
     rng = random.Random(4)
     edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1400)] + [(7001, 8000 + i) for i in range(500)] + [(9000 + i, 9999) for i in range(500)] + [(-i, -i - 1) for i in range(1, 200)]
     parent = {}
@@ -120,13 +122,11 @@ def test_components_meet_across_partitions(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = [(r["node"], r["root"]) for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()]
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(40)
+    got = [(r["node"], r["root"]) for r in components(df).collect()]
     assert sorted(got) == sorted((x, find(x)) for x in parent if find(x) != x)
+    with pytest.raises(RuntimeError):
+        components(df, rounds=1)
 
 
 def test_a_crowd_of_alike_texts_makes_few_pairs(spark):

@@ -1,13 +1,14 @@
 """Connected components of an edge table: local forests, joined by large-star and small-star rounds.
 
-Before the first round and after each one, every partition replaces its edges by
-stars of what they connect, in chunks of ``CHUNK`` edges; rounds join what lies
-in different partitions. No step adds edges, and each one that changes an edge
-lowers the sum of the ends' ranks, so a round without change means that every
-component is one star; so does a table that one chunk holds. A node with many edges is pre-aggregated before the
-shuffle, and its edges learn its least neighbour from a broadcast of at most
-``MAX_HOT`` nodes instead of meeting in one task. Nothing but three numbers
-a round goes to the driver.
+The edges lie in as many partitions as they need at ``CHUNK`` edges each. Before
+the first round and after each one, every partition replaces its edges by stars
+of what they connect, in chunks of that size; rounds join what lies in different
+chunks. No step adds edges, and each one that changes an edge lowers the sum of
+the ends' ranks, so a round without change means that every component is one
+star; so does a table that one chunk holds. A node with many edges is
+pre-aggregated before the shuffle, and its edges learn its least neighbour from a
+broadcast of at most ``MAX_HOT`` nodes instead of meeting in one task. Nothing
+but a few numbers a round goes to the driver.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _local(edges: DataFrame) -> DataFrame:
-    """u, v: the stars of each chunk of ``edges``; ``chunk`` tells the chunks apart."""
+def _local(edges: DataFrame, n_edges: int) -> DataFrame:
+    """u, v: the stars of each chunk of ``edges``, which are about ``n_edges``; ``chunk`` tells the chunks apart."""
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list, chunk: int) -> pa.RecordBatch:
@@ -65,7 +66,7 @@ def _local(edges: DataFrame) -> DataFrame:
         if n:
             yield out(held, chunk)
 
-    return edges.mapInArrow(contract, "u long, v long, chunk long")
+    return edges.coalesce(max(1, -(-n_edges // CHUNK))).mapInArrow(contract, "u long, v long, chunk long")
 
 
 def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
@@ -99,13 +100,12 @@ def components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """node, root: for each node with an edge (columns u, v) other than the root, the least node that it reaches."""
     ship(edges.sparkSession)
     with Scratch(edges.sparkSession) as scratch:
-        first = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = scratch.table(_local(first.distinct()), "edges")
+        e = scratch.table(_local(edges.where("u <> v").select("u", "v"), edges.count()), "edges")
         mark = _mark(e)
         for _ in range(rounds):
             if mark[2]:
                 break
-            e = scratch.table(_local(_small(_large(e.select("u", "v"), mark[0]), mark[0])), "edges")
+            e = scratch.table(_local(_small(_large(e.select("u", "v"), mark[0]), mark[0]), mark[0]), "edges")
             new = _mark(e)
             if new[:2] == mark[:2]:
                 break
