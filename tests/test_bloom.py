@@ -54,3 +54,22 @@ def test_words_are_those_of_the_positions(spark):
     answers = {r["key"]: r["maybe"] for r in bloom.probe_words(words, probes).collect()}
     for i in range(2000, 5000):
         assert answers[f"key-{i}"] == all((i % 3, p) in want for p in python_positions(f"key-{i}".encode(), 10_000, 6))
+
+
+def test_all_keys_against_all_filters(spark, monkeypatch):
+    """Blocks, groups, filters of one row and larger ones by words; a null segment has no filter, a null key is hashed as no bytes."""
+    rows = [(s, f"key-{i}") for s in range(40) for i in range(s, 7 * s + 3, 2)] + [(5, None), (None, "key-1")]
+    keys = [f"key-{i}" for i in range(300)] + ["key-7", "é", "", None]
+    monkeypatch.setattr(bloom, "BLOCK_KEYS", 64)
+    monkeypatch.setattr(bloom, "GROUP_BITS", 1000)
+    filters: dict = {s: set(keys) for s, keys in ((s, [k for t, k in rows if t == s]) for s in {r[0] for r in rows})}
+    bits = {s: max(64, 10 * len(held)) for s, held in filters.items()}
+    at = lambda k, s: set(python_positions((k or "").encode(), bits[s], 6))
+    ones = {s: set().union(*(at(k, s) for k in held)) if s is not None else set() for s, held in filters.items()}
+    want = {(s, k): at(k, s) <= ones[s] for s in filters for k in set(keys)}
+    entries, asked = spark.createDataFrame(rows, "segment long, key string"), spark.createDataFrame([(k,) for k in keys], "key string")
+    for most in (bloom.PACKED_BITS, 600):
+        monkeypatch.setattr(bloom, "PACKED_BITS", most)
+        got = bloom.probe_all(entries, asked).collect()
+        assert len(got) == len(want) and {(r["segment"], r["key"]): r["maybe"] for r in got} == want
+    assert bloom.probe_all(entries.where("false"), asked).count() == bloom.probe_all(entries, asked.where("false")).count() == 0

@@ -1,3 +1,5 @@
+import re
+
 from tidemark.plans import registry
 
 BIG = "/root/testdata/sf0.1"
@@ -20,3 +22,17 @@ def test_layers_and_peers_cover_whole_tables(spark):
     assert q["q06e_compact_all"](spark, BIG).count() == q["q01_lww_snapshot"](spark, BIG).count()
     assert q["q09c_index_seek_all"](spark, BIG).count() == spark.read.parquet(f"{BIG}/orders.parquet").select("o_orderkey").distinct().count()
     assert q["q24b_peer_map_all"](spark, BIG).count() == 4 * spark.read.parquet(f"{BIG}/supplier.parquet").count()
+
+
+def test_pairs_of_keys_and_filters_are_not_shuffled(spark, tmp_path, capsys):
+    """300 segments and 310 keys: no exchange has as many rows as there are pairs, let alone six times that. An event without id counts as in the SQL."""
+    rows = spark.range(600).selectExpr("id div 2 * 1000 + id % 2 as event_id", "id * 7 % 300 as user_id", "'x' as event_type", "'p' as props")
+    lost = spark.sql("SELECT CAST(NULL AS BIGINT) AS event_id, 5L AS user_id, 'x' AS event_type, 'p' AS props")
+    rows.unionByName(lost).write.parquet(f"{tmp_path}/parts")
+    (tmp_path / "events.parquet").symlink_to(tmp_path / "parts")
+    df = registry.queries()["q10c_bloom_probe_all"](spark, str(tmp_path))
+    assert df.count() == 301 * 310
+    df.collect()
+    df.explain("formatted")
+    shuffled = [int(float(n)) for n in re.findall(r"ShuffleQueryStage.*rowCount=([\d.E+]+)", capsys.readouterr().out)]
+    assert shuffled and max(shuffled) < 301 * 310 / 4

@@ -388,10 +388,7 @@ def q03b(spark, d):
   pb AS (SELECT segment, key, CAST(((h % 4294967296 + i * ((h // 4294967296) + CASE WHEN (h // 4294967296) % 2 = 0 THEN 1 ELSE 0 END)) % 4294967296) % m AS BIGINT) AS bit FROM ph, range(0, 6) t(i))
   SELECT pb.segment, pb.key, bool_and(b.bit IS NOT NULL) AS maybe FROM pb LEFT JOIN bits b ON b.segment = pb.segment AND b.bit = pb.bit GROUP BY pb.segment, pb.key""")
 def q10c(spark, d):
-    filters = bloom.build_words(log(spark, d))
-    segments = filters.agg(F.collect_set("segment").alias("segments"))  # one row, of a number for each filter
-    probes = _probe_keys(spark, d).join(F.broadcast(segments)).select(F.explode("segments").alias("segment"), "key")
-    return bloom.probe_words(filters, probes)
+    return bloom.probe_all(log(spark, d), _probe_keys(spark, d))
 
 
 @query("q15b_missing_keys_all", C + f" SELECT CAST(id AS VARCHAR) AS key FROM {PROBES} r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.key = CAST(r.id AS VARCHAR))")
